@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, sharding
+from . import chat_format, decontamination, line_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_line_frequency_rules": quality_rules.op1_line_frequency_rules,
+    "op2_chat_segments": chat_format.op2_chat_segments,
+    "op7_benchmark_containment": decontamination.op7_benchmark_containment,
     "op8_site_spread_lines": line_dedup.op8_site_spread_lines,
     "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
 }
 
 ORACLE_SQL = {
     "op1_line_frequency_rules": quality_rules.OP1_SQL,
+    "op2_chat_segments": chat_format.OP2_SQL,
+    "op7_benchmark_containment": decontamination.OP7_SQL,
     "op8_site_spread_lines": line_dedup.OP8_SQL,
 }
