@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_dedup, packing, quality_rules, sharding, simhash
+from . import chat_format, decontamination, kneser_ney, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_line_frequency_rules": quality_rules.op1_line_frequency_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_min_bin_slack": packing.op5_min_bin_slack,
     "op7_benchmark_containment": decontamination.op7_benchmark_containment,
     "op8_site_spread_lines": line_dedup.op8_site_spread_lines,
+    "op9_kneser_ney_quality": kneser_ney.op9_kneser_ney_quality,
     "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
 }
 
