@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, kneser_ney, line_dedup, packing, quality_rules, sharding, simhash
+from . import chat_format, decontamination, html_text, kneser_ney, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_line_frequency_rules": quality_rules.op1_line_frequency_rules,
     "op2_chat_segments": chat_format.op2_chat_segments,
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
+    "op4_tree_scored_text": html_text.op4_tree_scored_text,
     "op5_min_bin_slack": packing.op5_min_bin_slack,
     "op7_benchmark_containment": decontamination.op7_benchmark_containment,
     "op8_site_spread_lines": line_dedup.op8_site_spread_lines,
