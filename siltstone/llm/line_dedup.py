@@ -8,8 +8,9 @@ on min_sites sites or more is removed from every document but the first (least
 doc_id) that holds it, so no line vanishes from the corpus.
 
 Defined cases: null text counts as empty and stays null; lines without a word
-are never removed; a null site is a site of its own; a null doc_id is a
-document of its own, below all others; repeated rows are edited alike; empty
+are never removed; a null site is a site of its own; rows with a null doc_id
+are one document, first only where no other holds the line; repeated rows are
+edited alike; empty
 tables give empty results; other columns pass through.
 """
 
@@ -37,11 +38,17 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(normalised(line))
 
 
+def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(doc, site, h): the distinct lines with a word of each row."""
+    solid = F.filter(lines_of(F.col("text")), lambda x: x.rlike(f"[^{SPACE}]"))
+    return docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col(site), F.lit("\u0000")).alias("site"), F.explode(F.array_distinct(F.transform(solid, line_hash))).alias("h"))
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """(h, first_doc) of the lines on min_sites or more sites. lines: (doc, site, h)."""
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where(F.col("n") >= min_sites)
-    seen = written(lines.join(often.select("h", "first_doc"), "h").groupBy("h", "site").agg(F.min("first_doc").alias("first_doc"), F.count("*").alias("n")))
-    spread = seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), LG_K)).alias("sites"), F.min("first_doc").alias("first_doc"))
+    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where(F.col("n") >= min_sites).select("h", "first_doc")
+    seen = written(lines.select("h", "site").join(often, "h").groupBy("h", "site", "first_doc").agg(F.count("*").alias("n")))
+    spread = seen.groupBy("h", "first_doc").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), LG_K)).alias("sites"))
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "first_doc")
     near = spread.where(F.col("sites").between(int(min_sites * (1 - margin)), min_sites * (1 + margin))).select("h", "first_doc")
     exact = seen.select("h", "site").join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
@@ -50,14 +57,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, site: str = "source") -> DataFrame:
     """docs with their boilerplate lines gone; adds n_lines and n_removed."""
-    rows = docs.select(
-        F.struct(F.col("doc_id").alias("id")).alias("doc"),
-        F.coalesce(F.col(site), F.lit("\u0000")).alias("site"),
-        F.explode(F.transform(F.filter(lines_of(F.col("text")), lambda x: x.rlike(f"[^{SPACE}]")), line_hash)).alias("h"),
-    )
+    rows = written(site_lines(docs, site))
     bad = written(boilerplate(rows, min_sites, margin))
-    hits = rows.join(bad, "h").where(F.col("doc") != F.col("first_doc")).groupBy("doc").agg(F.collect_set("h").alias("__bad"))
-    out = docs.join(hits.select(F.col("doc.id").alias("__id"), "__bad"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    hits = rows.join(bad, "h").where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc").agg(F.collect_set("h").alias("__bad"))
+    out = docs.join(hits.withColumnRenamed("doc", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), line_hash(x)) | ~x.rlike(f"[^{SPACE}]")))
     out = out.withColumn("__kept", kept).withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long"))
