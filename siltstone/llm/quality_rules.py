@@ -67,8 +67,10 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     out = out.withColumn("n_symbols", F.when(text.rlike(SYMBOLS), F.size(F.split(text, SYMBOLS)) - 1).otherwise(0).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     out = out.withColumn("n_repeat_words", union_length(repeated_positions("__placed")).cast("long"))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.drop("__words", "__lines", "__wins", "__placed")
+    # a filter on these columns must not be pushed down into the expressions, where lambdas would compute columns anew; it stops at the explode
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = out.select(*docs.columns, F.explode(F.array(F.struct(*names))).alias("__m")).select(*docs.columns, *[F.col(f"__m.{x}").alias(x) for x in names])
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -92,22 +94,30 @@ def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, h
     return sums.where(F.col("lost") > 0).select("doc", (1 - F.col("lost") / F.col("all")).alias("left"))
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
-    """docs with the base metrics, left_share and kept."""
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source", texts: bool = True) -> DataFrame:
+    """docs with the base metrics, left_share and kept; texts: whether the text stays."""
     left = depletion(docs, min_docs, share, host).select(F.col("doc.id").alias("__id"), F.col("left").alias("left_share"))
-    out = base_metrics(docs).join(left, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    base = base_metrics(docs)
+    out = (base if texts else base.drop("text")).join(left, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     out = out.withColumn("left_share", F.coalesce(F.col("left_share"), F.lit(1.0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("left_share") >= min_left))
 
 
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
+    """doc_id, the base metrics, left_share and kept of each row, without the texts."""
+    slim = docs.select("doc_id", "text", F.col(host).alias("host"))
+    out = judged(slim, min_docs, share, min_left, "host", texts=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept")
+
+
+def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
+    """docs without the rejected rows; other columns pass through."""
+    out = judged(docs, **limits)
+    return out.where("kept").select(*docs.columns)
+
+
 def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    left = depletion(docs).select(F.col("doc.id").alias("__id"), F.col("left").alias("left_share"))
-    base = base_metrics(docs).drop("text", "source")
-    out = base.join(left, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    out = out.withColumn("left_share", F.coalesce(F.col("left_share"), F.lit(1.0)))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("left_share") >= MIN_LEFT))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return verdicts(table(spark, sf_dir, "documents")).drop("left_share")
 
 
 OP1_SQL = r"""
