@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, html_text, kneser_ney, line_dedup, packing, quality_rules, sharding, simhash
+from . import chat_format, decontamination, html_text, kneser_ney, line_dedup, mixing_lm, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_line_frequency_rules": quality_rules.op1_line_frequency_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
     "op4_tree_scored_text": html_text.op4_tree_scored_text,
     "op5_min_bin_slack": packing.op5_min_bin_slack,
+    "op6_context_mixing_scores": mixing_lm.op6_context_mixing_scores,
     "op7_benchmark_containment": decontamination.op7_benchmark_containment,
     "op8_site_spread_lines": line_dedup.op8_site_spread_lines,
     "op9_kneser_ney_quality": kneser_ney.op9_kneser_ney_quality,
