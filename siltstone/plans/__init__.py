@@ -1 +1,7 @@
-"""siltstone.plans"""
+"""Named queries over the fixture tables, and the SQL that checks them."""
+
+from . import rules, search
+
+_PARTS = (search, rules)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
