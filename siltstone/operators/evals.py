@@ -17,10 +17,16 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
 
 
-def shingle_set(text: Column, k: int = 5) -> Column:
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(F.when(F.size(words) >= k, grams).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
+def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
+    """df with the distinct hashes of all runs of k words, of all words where there are fewer.
+
+    The words are a column of their own: inside a lambda an expression would be computed for every element.
+    """
+    df = df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    n = F.size("_words")
+    grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, k), " ")))
+    short = F.when(n > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, F.array_distinct(F.when(n >= k, grams).otherwise(short))).drop("_words")
 
 
 def near_pairs(items: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame:
@@ -30,7 +36,8 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame
     share one of their first n - ceil(least * n) + 1; only pairs that meet
     there, within the days, are compared.
     """
-    sized = items.where(F.size("h") > 0).withColumn("h", F.array_sort("h")).withColumn("n", F.size("h"))
+    # set sizes are filtered after an explode_outer, which keeps the filter from being pushed into the making of the sets
+    sized = items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0)
     prefix = sized.withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
     keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
     other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")
@@ -45,7 +52,7 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame
 
 def queue_ages(jobs: DataFrame, now: Column) -> DataFrame:
     """(state, jobs, oldest_id, oldest_age_s). jobs: (id, state, ts)."""
-    age = (F.unix_micros(now) - F.unix_micros(F.min("ts"))) / 1e6
+    age = (F.unix_micros(now) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
     return jobs.groupBy("state").agg(F.count("*").alias("jobs"), F.min_by("id", F.struct("ts", "id")).alias("oldest_id"), F.floor(age).cast("long").alias("oldest_age_s"))
 
 
