@@ -1,7 +1,7 @@
 """Named queries over the fixture tables, and the SQL that checks them."""
 
-from . import ledgers, rules, search
+from . import ledgers, queues, rules, search
 
-_PARTS = (search, rules, ledgers)
+_PARTS = (search, rules, ledgers, queues)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
