@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _TOKEN = re.compile(r"[^\W_]+")
 _VOWELS = "aeiou"
@@ -84,7 +85,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stemmed_tokens(texts: pd.Series) -> pd.Series:
     """Folded, stemmed tokens in order; empty for null."""
     return texts.map(lambda t: [stem(w) for w in _TOKEN.findall(folded(t))] if t else [])
