@@ -44,8 +44,9 @@ def orphans(previous: DataFrame, live: DataFrame, current: DataFrame, prefix: st
     before = previous.select("path").distinct().withColumn("_before", F.lit(True))
     seen = previous.select("path").unionByName(live.select("path")).distinct().join(before, "path", "left")
     managed = F.col("_before").isNotNull() | name.startswith(prefix) | name.isin(retired)
-    some = F.broadcast(current.agg(F.count("*").alias("_n")))  # one row
-    return seen.where(managed).join(current.select("path"), "path", "left_anti").crossJoin(some).where(F.col("_n") > 0).select("path")
+    if current.isEmpty():
+        return seen.select("path").limit(0)
+    return seen.where(managed).join(current.select("path"), "path", "left_anti").select("path")
 
 
 def merged_entries(user: DataFrame, kit: DataFrame, keys: list[str], position: str) -> DataFrame:

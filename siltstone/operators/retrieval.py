@@ -37,10 +37,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     hits = own.select(key, "len", F.explode("bag").alias("term")).join(vocabulary, "term")
     posts = hits.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = posts.join(df, "term").crossJoin(stats).select("term", key, weight.alias("w"))
+    stats = corpus_stats(docs).first()  # two numbers
+    n, avgdl = F.lit(stats.n), F.lit(stats.avgdl)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avgdl))
+    scored = posts.join(df, "term").select("term", key, weight.alias("w"))
     total = q.join(scored, "term").groupBy(query, key).agg(F.round(F.sum("w"), digits).alias("score"))
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from siltstone.functions import text as T
 from siltstone.operators import evals as E
 from siltstone.operators import memory as M
 from siltstone.operators import reconcile as C
+from siltstone.session import checkpointing
 from siltstone.sources import readers, sinks
 
 from .search import table
@@ -105,10 +106,7 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def taint_closure(spark: SparkSession, d: str) -> DataFrame:
     """Orders derive from the order of half their number; the tainted are those of prime customers 7 and 11."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpointing(spark)
     o = table(spark, d, "orders")
     edges = o.where(F.col("o_orderkey") > 1).select(F.floor(F.col("o_orderkey") / 2).alias("parent"), F.col("o_orderkey").alias("child"))
     return M.derived_from(edges, o.where(F.col("o_custkey").isin(7, 11)).select(F.col("o_orderkey").alias("node")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
 from siltstone.operators import retrieval as R
@@ -33,8 +32,8 @@ bm25 AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    p = R.postings(docs)
-    return p.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms")).crossJoin(F.broadcast(R.corpus_stats(docs).select("n", F.round("avgdl", 6).alias("avgdl"))))
+    stats = R.corpus_stats(docs).first()
+    return R.postings(docs).agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"), F.lit(stats.n).alias("n"), F.round(F.lit(stats.avgdl), 6).alias("avgdl"))
 
 
 def subtoken_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -68,11 +67,8 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     arms = [R.dense(v, q, T.cosine, 10), R.dense(v, q, dot, 10)]
-    k = F.broadcast(v.agg(T.rrf_k(F.count("*")).alias("k")))  # one row
-    arms = [a.crossJoin(k) for a in arms]
-    rows = arms[0].select("query_id", "vec_id", "rank", "k").unionByName(arms[1].select("query_id", "vec_id", "rank", "k"))
-    total = rows.groupBy("query_id", "vec_id").agg(F.round(F.sum(1 / (F.col("k") + F.col("rank"))), 6).alias("score"))
-    return total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    k = T.rrf_k(F.lit(v.count()))
+    return R.fused(arms, k, "query_id", "vec_id")
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:

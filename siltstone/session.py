@@ -12,3 +12,16 @@ def session(app: str = "siltstone", **conf: str) -> SparkSession:
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Make checkpoint() work: in the folder that the cluster names, or in local mode in a temporary one."""
+    import tempfile
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir", None)
+    if not named and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
