@@ -79,7 +79,7 @@ def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     flat = F.lower(F.when(text.rlike(f"{INNER}| {{2}}"), F.regexp_replace(text, f"( |{INNER})+", " ")).otherwise(text))
     lines = F.filter(F.transform(F.split(flat, "\n"), F.trim), lambda x: x != "")
     hashed = F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("chars"))))
-    return docs.select(F.struct(F.col("doc_id").alias("id")).alias("doc"), F.coalesce(F.col(host), F.lit("\u0000")).alias("host"), F.explode(hashed).alias("l")).select("doc", "host", "l.h", "l.chars")
+    return docs.select(F.struct(F.col("doc_id").alias("id")).alias("doc"), F.coalesce(F.col(host), F.lit("\u0000")).alias("host"), F.explode_outer(hashed).alias("l")).select("doc", "host", "l.h", "l.chars").where(F.col("h").isNotNull())
 
 
 def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, host: str = "source") -> DataFrame:
