@@ -1,4 +1,4 @@
-"""Tokens for retrieval: accents folded, suffixes stripped (Porter, 1980), as Arrow batches."""
+"""What built-in functions cannot express, as Arrow batches: stemmed tokens (accents folded, suffixes stripped after Porter, 1980), rounding by the exact binary value."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _TOKEN = re.compile(r"[^\W_]+")
 _VOWELS = "aeiou"
@@ -89,3 +89,9 @@ def stem(word: str) -> str:
 def stemmed_tokens(texts: pd.Series) -> pd.Series:
     """Folded, stemmed tokens in order; empty for null."""
     return texts.map(lambda t: [stem(w) for w in _TOKEN.findall(folded(t))] if t else [])
+
+
+@F.pandas_udf(DoubleType())
+def rounded_2(values: pd.Series) -> pd.Series:
+    """Two places by the exact binary value: 0.175 gives 0.17, where round and bround give 0.18."""
+    return values.map(lambda x: round(x, 2), na_action="ignore")

@@ -179,3 +179,22 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int"))
     return F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+
+
+def value_at(v: Column, path: str, kind: str = "string") -> Column:
+    """The value of a variant at a dotted path; null where there is none of that type."""
+    return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path.split(".")), kind)
+
+
+def first_replaced(text: Column, literal: str, by: str) -> Column:
+    """text with the first occurrence of a literal replaced."""
+    at = F.instr(text, literal)
+    rest = F.substring(text, at + len(literal), F.lit(2147483647))
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(by), rest)).otherwise(text)
+
+
+def number_in_range(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number within the range; null for an empty string, an error for anything else."""
+    x = c.try_cast("double")
+    fine = F.coalesce(x.between(low, high), F.lit(False))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(None).cast("double")).when(fine, x).otherwise(F.raise_error(F.concat(F.lit("not a number in range: "), c)).cast("double"))
