@@ -157,3 +157,16 @@ def test_stream_equals_replay(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("jobs").collect())) == sorted(map(tuple, queue.replayed(df).collect()))
+
+
+def test_rounding_by_the_binary_value(spark):
+    got = [r[0] for r in spark.createDataFrame([(0.175,), (0.475,), (0.8274999999999999,), (None,)], "x double").select(stem.rounded_2("x")).collect()]
+    assert got == [0.17, 0.47, 0.83, None]
+
+
+def test_numbers_and_first_replacement(spark):
+    df = spark.createDataFrame([("0.5",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(T.number_in_range(F.col("s"))).collect()] == [0.5, None, None]
+    with pytest.raises(Exception, match="not a number in range"):
+        spark.createDataFrame([("2",)], "s string").select(T.number_in_range(F.col("s"))).collect()
+    assert spark.createDataFrame([("a-b-b",)], "s string").select(T.first_replaced(F.col("s"), "b", "c")).first()[0] == "a-c-b"
