@@ -16,6 +16,11 @@ AI_TELLS = [r"(?i)as an ai", r"(?i)i'?m happy to help", r"(?i)great question"]
 #: Name parts of files that may hold secrets.
 SECRET_NAMES = [".env", "id_rsa", "id_ed25519", "token", "password", "credential", "private_key", "/secret/", "/secrets/"]
 
+#: What a build leaves out: first folders, names anywhere, leading folders.
+BUILD_FIRST = [".git", "dist"]
+BUILD_NAMES = [".DS_Store", "__MACOSX", "__pycache__"]
+BUILD_LEADING = [".ai/cache", ".ai/runtime/.venv", ".ai/runtime/.pytest_cache"]
+
 
 def stripped(c: Column) -> Column:
     """Without white space at either end; null stays null."""
@@ -90,9 +95,11 @@ def safe_path(path: Column) -> Column:
 def build_excluded(path: Column) -> Column:
     """Whether a build leaves the path out."""
     parts = F.split(path, "/")
-    first, two, three = F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 1, 2), "/"), F.array_join(F.slice(parts, 1, 3), "/")
-    inner = F.exists(parts, lambda p: p.isin(".DS_Store", "__MACOSX", "__pycache__") | p.startswith("._"))
-    return first.isin(".git", "dist") | inner | (two == ".ai/cache") | three.isin(".ai/runtime/.venv", ".ai/runtime/.pytest_cache")
+    named = F.exists(parts, lambda p: p.isin(BUILD_NAMES) | p.startswith("._"))
+    out = F.get(parts, F.lit(0)).isin(BUILD_FIRST) | named
+    for folder in BUILD_LEADING:
+        out = out | (F.array_join(F.slice(parts, 1, folder.count("/") + 1), "/") == folder)
+    return out
 
 
 def secret_like_path(path: Column) -> Column:
