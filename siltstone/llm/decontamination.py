@@ -71,13 +71,14 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     brief = F.size("__w") < SHINGLE + 2
     whole = F.filter("__w", lambda w: w != "")
     runs = runs.withColumn("h", F.when(brief & (F.size(whole) > 0) & (F.size(whole) < SHINGLE), F.array(F.xxhash64(F.array_join(whole, " ")))).otherwise(F.col("h")))
-    large = F.size("h")
-    hits = runs.select("doc", large.alias("m"), F.explode("h").alias("s")).join(probes, "s").where(F.col("m") >= F.floor(F.col("least") * containment))
+    # explode_outer, since Spark derives a filter on the array's size from explode and computes the array a second time for it;
+    # the size is a column before it, so that no exploded row carries the array along
+    hits = runs.withColumn("m", F.size("h")).select("doc", "m", F.explode_outer("h").alias("s")).join(probes, "s").where(F.col("m") >= F.floor(F.col("least") * containment))
     hits = written(hits.select("doc", "s").distinct())
     pairs = hits.join(sk.select("item", F.explode("sketch").alias("s")), "s").select("doc", "item").distinct()
     full = sk.select("item", "n", F.explode("h").alias("s"))
     close = hits.select("doc").distinct()
-    again = runs.join(close, "doc", "left_semi").select("doc", F.explode("h").alias("s"))
+    again = runs.join(close, "doc", "left_semi").select("doc", F.explode_outer("h").alias("s"))
     shared = again.join(full, "s").groupBy("doc", "item", "n").agg(F.count_distinct("s").alias("shared"))
     right = shared.where(F.col("shared") >= F.ceil(F.round(F.col("n") * containment, 6))).join(pairs, ["doc", "item"], "left_semi")
     return right.select(F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), "shared", F.col("n").cast("long").alias("n_shingles"))
