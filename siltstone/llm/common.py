@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII white space, as a Java or RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -52,6 +53,18 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def row_key() -> Column:
+    """Rows with one key have the same doc_id and text; keys sort by id, null first, then by hash."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs for each row_key in keys (__key)."""
+    first = Window.partitionBy("__key").orderBy(F.lit(0))
+    kept = docs.withColumn("__key", row_key()).join(keys.select("__key"), "__key", "left_semi")
+    return kept.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).select(*docs.columns)
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; empty for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\u000b\f\r"))
