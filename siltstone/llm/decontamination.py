@@ -16,7 +16,8 @@ is under its threshold, and else sorts and merges, splitting skewed keys.
 Defined cases: null texts count as empty; texts and items without words match
 nothing; documents under five words only match shorter items; repeated rows of
 one doc_id are one document; null ids are ids; equal items are reported each;
-empty tables give empty results; other columns are not read.
+empty tables give empty results; other columns are not read. `decontaminated`
+takes each text without an id as a document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_windows, written
+from .common import row_key, table, with_windows, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -85,9 +86,11 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """docs without those that hold an item."""
-    leaks = contained(docs, items, containment).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs without those that hold an item. Rows of one doc_id are one document; rows without an id are documents of their own."""
+    key = row_key()
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNull(), key).otherwise(key.withField("t", F.lit(None).cast("long")).withField("n", F.lit(None).cast("int"))))
+    leaks = contained(keyed.select(F.col("__key").alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaks, "__key", "left_anti").select(*docs.columns)
 
 
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import one_row_each, row_key, table, written
 from .components import components
 
 BITS = 64
@@ -112,24 +111,28 @@ def close_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.where(hamming(F.col("l_fp"), F.col("fp")) <= radius).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    rows = written(fingerprints(docs, k))
+def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, id, nulls, root) of each distinct fingerprint of rows (doc_id, fp): root is the least fingerprint of its component."""
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")))
     # a class is named by its fingerprint, and its component by the least fingerprint; ids come back by one aggregation
     found = components(close_pairs(classes.select(F.col("fp").alias("id"), "fp"), radius))
-    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", "nulls", F.coalesce("component", "fp").alias("root"))
+    return classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", "nulls", F.coalesce("component", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    rows = written(fingerprints(docs, k))
+    named = rooted(rows, radius)
     roots = named.groupBy("root").agg(F.min("id").alias("least"), F.sum("nulls").alias("nulls"))
     ids = written(named.join(roots.select("root", F.when(F.col("nulls") == 0, F.col("least")).alias("component_id")), "root").select("fp", "component_id"))
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id, one of its repeated rows."""
-    keep = near_duplicates(docs, k, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
+    """docs with one row of each component: that of the least doc_id, null first, then of the least hash."""
+    rows = written(fingerprints(docs.select(row_key().alias("doc_id"), "text"), k))
+    keep = rooted(rows, radius).groupBy("root").agg(F.min("id").alias("__key"))
+    return one_row_each(docs, keep)
 
 
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
