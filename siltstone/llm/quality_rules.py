@@ -11,7 +11,9 @@ The base rules measure each text on its own: see `base_metrics`.
 Defined cases: null text counts as empty (no words: base_failed); a null host
 is a host of its own, a null doc_id a document of its own; repeated rows are
 one document for the line counts and are judged alike; an empty table gives an
-empty result; other columns pass through `judged`.
+empty result; other columns pass through `judged`. `edited_documents` returns
+the texts without the lines; a line of the first document stays there even
+where that document is rejected.
 """
 
 from __future__ import annotations
@@ -73,30 +75,36 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def line_hash(line: Column) -> Column:
+    """The hash that document_lines gives to a line."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, f"( |{INNER})+", " "))))
+
+
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(doc, host, h, chars): the distinct lines of each row that hold a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     flat = F.lower(F.when(text.rlike(f"{INNER}| {{2}}"), F.regexp_replace(text, f"( |{INNER})+", " ")).otherwise(text))
-    lines = F.filter(F.transform(F.split(flat, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     hashed = F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("chars"))))
     return docs.select(F.struct(F.col("doc_id").alias("id")).alias("doc"), F.coalesce(F.col(host), F.lit("\u0000")).alias("host"), F.explode_outer(hashed).alias("l")).select("doc", "host", "l.h", "l.chars").where(F.col("h").isNotNull())
 
 
 def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, host: str = "source") -> DataFrame:
-    """(doc, left): the share of the characters in its distinct lines that each document keeps, where it loses any."""
+    """(doc, left, gone): the share of the characters in its distinct lines that each document keeps, and the hashes of those it loses, where it loses any."""
     lines = written(document_lines(docs, host))
     counts = lines.groupBy("h", "host").agg(F.count_distinct("doc").alias("docs"), F.min("doc").alias("first_doc"))
     hosts = docs.groupBy(F.coalesce(F.col(host), F.lit("\u0000")).alias("host")).agg(F.count_distinct("doc_id").alias("in_host"))
     common = counts.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > F.ceil(F.col("in_host") * share)).select("h", "host", "first_doc")
     judged = lines.join(common, ["h", "host"], "left")
     gone = F.col("first_doc").isNotNull() & (F.col("doc") != F.col("first_doc"))
-    sums = judged.groupBy("doc").agg(F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("lost"), F.sum("chars").alias("all"))
-    return sums.where(F.col("lost") > 0).select("doc", (1 - F.col("lost") / F.col("all")).alias("left"))
+    sums = judged.groupBy("doc").agg(F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("lost"), F.sum("chars").alias("all"), F.collect_set(F.when(gone, F.col("h"))).alias("gone"))
+    return sums.where(F.col("lost") > 0).select("doc", (1 - F.col("lost") / F.col("all")).alias("left"), "gone")
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source", texts: bool = True) -> DataFrame:
-    """docs with the base metrics, left_share and kept; texts: whether the text stays."""
-    left = depletion(docs, min_docs, share, host).select(F.col("doc.id").alias("__id"), F.col("left").alias("left_share"))
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source", texts: bool = True, gone: bool = False) -> DataFrame:
+    """docs with the base metrics, left_share and kept; texts: whether the text stays; gone: with gone_lines, the hashes of the lines above the limits."""
+    names = [F.col("left").alias("left_share"), F.col("gone").alias("gone_lines")][: 1 + gone]
+    left = depletion(docs, min_docs, share, host).select(F.col("doc.id").alias("__id"), *names)
     base = base_metrics(docs)
     out = (base if texts else base.drop("text")).join(left, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     out = out.withColumn("left_share", F.coalesce(F.col("left_share"), F.lit(1.0)))
@@ -116,6 +124,14 @@ def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
     return out.where("kept").select(*docs.columns)
 
 
+def edited_documents(docs: DataFrame, **limits: float) -> DataFrame:
+    """docs without the rejected rows, and their texts without the lines above the limits; other columns pass through."""
+    out = judged(docs, gone=True, **limits).where("kept")
+    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone_lines", line_hash(x)))
+    edited = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return out.withColumn("text", edited).select(*docs.columns)
+
+
 def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents")).drop("left_share")
 
