@@ -29,8 +29,8 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
     return df.withColumn(out, F.array_distinct(F.when(n >= k, grams).otherwise(short))).drop("_words")
 
 
-def near_pairs(items: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame:
-    """(a, b, jaccard) of items at most `days` apart whose hashed shingle sets overlap by more than `least`. items: (id, day, h).
+def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> DataFrame:
+    """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h).
 
     Prefix filter: of sets in a fixed order of hashes, two with such an overlap
     share one of their first n - ceil(least * n) + 1; only pairs that meet
@@ -41,7 +41,8 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame
     prefix = sized.withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
     keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
     other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")
-    near = (F.abs(F.col("day") - F.col("day2")) <= days) & (F.col("id") < F.col("id2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least)
+    close = F.lit(True) if days is None else F.abs(F.col("day") - F.col("day2")) <= days
+    near = close & (F.col("id") < F.col("id2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least)
     pairs = keys.join(other, "k").where(near).select("id", "id2").distinct()
     h = sized.select("id", "h", "n")
     both = pairs.join(h, "id").join(h.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2")), "id2")

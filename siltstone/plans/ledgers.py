@@ -38,6 +38,13 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.near_pairs(items).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def near_dup_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """As near_dup_pairs, without a window of days, since documents have no date."""
+    own = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
+    items = E.with_shingles(own.select("id", "text", F.lit(0).alias("day")), "text", "h").select("id", "day", "h")
+    return E.near_pairs(items, days=None).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 def parity_compare(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     left = n.select("n_nationkey", "n_name", F.col("n_regionkey").alias("region"), F.lit(True).alias("ready"))
@@ -213,7 +220,7 @@ def ancestor_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    manifest_drift, exact_dup_groups, near_dup_pairs, parity_compare, orphan_prune_plan, settings_merge, findings_unnest, hash_chain_verify, live_decisions, tag_mining, conflict_pairs, taint_closure,
+    manifest_drift, exact_dup_groups, near_dup_pairs, near_dup_pairs_all, parity_compare, orphan_prune_plan, settings_merge, findings_unnest, hash_chain_verify, live_decisions, tag_mining, conflict_pairs, taint_closure,
     todo_fold, session_resume, memory_recall, forget_receipt, usage_by_role, hook_breakdown, queue_age, retention_plan, byte_cap_rotation, cooldown_scan, ratchet_best, section_membership, line_anchors,
     host_tier, url_guard, wiki_lint_orphans, schema_conformance, verify_quotes, ancestor_lookup,
 )}
@@ -226,6 +233,12 @@ WITH own AS (SELECT min(doc_id) AS id, regexp_extract_all(lower(text), '[^\x20\x
 s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM own),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id AND abs(a.id % 30 - b.id % 30) <= 7 GROUP BY ALL)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) > 0.6""",
+    "near_dup_pairs_all": r"""
+WITH own AS (SELECT min(doc_id) AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents GROUP BY text),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM own),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) > 0.6""",
     "parity_compare": """SELECT n_nationkey, 'n_name' AS field, n_name AS left, lower(n_name) AS right FROM nation WHERE n_nationkey % 5 = 0 AND n_name <> lower(n_name)
 UNION ALL SELECT n_nationkey, 'ready', 'true', NULL FROM nation WHERE n_nationkey % 7 = 0""",
