@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -228,16 +228,93 @@ def test_language_model_scores(spark, none):
     assert mixing_lm.scored(none).count() == 0
 
 
+def local_model(train):
+    """The model of some texts, its counts summed in one process, weights fitted on the texts in order."""
+    c = Counter(w for t in train for w in t)
+    top = sorted(((w, n) for w, n in c.items() if n >= mixing_lm.LEAST_COUNT), key=lambda x: (-x[1], x[0]))
+    m = mixing_lm.Model([w for w, _ in top], [n for _, n in top], sum(c.values()) + len(train), len(train))
+    m.load(iter(()))
+    size = 1 << mixing_lm.REGION_BITS
+    for t, r, keys, n in m.pairs(train):
+        part = m.word_mix.counts[t + 1].reshape(size, -1)[r]
+        into = np.zeros(len(part))
+        m.count_pairs(t, np.frombuffer(keys, np.int64), np.frombuffer(n, np.uint32), into)
+        part += into.astype(np.float32)
+    for _, bit, at in m.spell_bits([w for w in c if w not in m.ids]):
+        for x, i in zip(m.spell_mix.counts, at):
+            np.add.at(x, 2 * i.astype(np.int64) + bit, 1)
+    return m, c
+
+
+def slow_bits(m, words, doc_words):
+    """The bits of symbols by their definition: one bit at a time, counts from plain dictionaries."""
+    tables = slow_bits.tables
+    kind = max(range(min(mixing_lm.CLASSES, m.end)), key=lambda i: (doc_words.count(m.words[i]), -i), default=0)
+    total, before = math.log2(mixing_lm.CLASSES), m.end
+    for w in [*words, None]:
+        s = m.end if w is None else m.ids.get(w, m.escape)
+        lo = m.word_tree.start[s]
+        for node, bit in zip(m.word_tree.nodes[lo : lo + m.word_tree.length[s]].tolist(), m.word_tree.bits[lo : lo + m.word_tree.length[s]].tolist()):
+            pairs = [tables[0][node], tables[1][kind, node], tables[2][before, node]]
+            x = [math.log((c[1] + mixing_lm.DELTA) / (c[0] + mixing_lm.DELTA)) for c in pairs]
+            fill = [(sum(c) > 0) + (sum(c) >= 8) for c in pairs]
+            gate = 3 * fill[1] + fill[2]
+            dot = sum(float(a) * b for a, b in zip(m.word_mix.weights[gate], x))
+            half = mixing_lm.CELLS // 2
+            cell = max(-half, min(half, round(dot * 2)))
+            n0, n1 = m.word_mix.cells[gate * mixing_lm.CELLS + cell + half]
+            trust = min((n0 + n1) / 200, 1)
+            dot = (dot + trust * math.log((n1 + 0.5) / (n0 + 0.5)) + (1 - trust) * cell / 2) / 2
+            total += math.log2(1 + math.exp(-dot if bit else dot))
+        before = s
+    return total
+
+
+def test_mixed_bits_by_definition(monkeypatch):
+    monkeypatch.setattr(mixing_lm, "table_bits", lambda n: 22)  # so that hardly any slot is shared
+    texts = [mixing_lm.tokens(words(60, i, 40) + f" rare{i}") for i in range(40)]
+    m, _ = local_model(texts)
+    m.fit(iter(texts))
+    m.word_mix.fix()
+    m.spell_mix.fix()
+    tables = slow_bits.tables = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for t in texts:
+        kind, before = max(range(min(mixing_lm.CLASSES, m.end)), key=lambda i: (t.count(m.words[i]), -i)), m.end
+        for w in [*t, None]:
+            s = m.end if w is None else m.ids.get(w, m.escape)
+            lo = m.word_tree.start[s]
+            for node, bit in zip(m.word_tree.nodes[lo : lo + m.word_tree.length[s]].tolist(), m.word_tree.bits[lo : lo + m.word_tree.length[s]].tolist()):
+                for table, key in zip(tables, (node, (kind, node), (before, node))):
+                    table[key][bit] += 1
+            before = s
+    new = [mixing_lm.tokens(words(50, 100 + i, 60)) for i in range(10)] + [[]]
+    got = m.score(m.chunk(new), len(new))
+    for g, t in zip(got, new):
+        assert g == pytest.approx(slow_bits(m, t, t), rel=1e-3)  # costs are on a grid
+
+
 def test_costs_are_those_of_a_distribution():
-    m = mixing_lm.Model([b"a", b"bb", b"c"], [5, 3, 2], 14, 2)
-    m.learn([[b"a", b"bb", b"x"], [b"c"]] * 5)
-    numbers, blocks = zip(*m.rows())
-    m.load(np.concatenate(numbers), np.concatenate(blocks))
-    items = np.array([(s * mixing_lm.CLASSES + 1) * mixing_lm.BEFORE + 2 for s in range(5)])
-    cost = np.zeros(5)
-    for item, bit, at in m.word_bits(items):
-        cost += np.bincount(item, m.word_mix.cost(at, bit), 5)
-    assert np.sum(2.0**-cost) == pytest.approx(1, abs=1e-4)
+    texts = [[b"a", b"bb", b"x"], [b"c", b"a", b"bb"], [b"c", b"a", b"bb", b"c"]] * 5
+    m, _ = local_model(texts)
+    m.fit(iter(texts))
+    m.word_mix.fix()
+    m.spell_mix.fix()
+    symbol = np.arange(m.symbols)
+    cost = np.zeros(m.symbols)
+    for item, bit, at in m.word_bits(symbol, symbol * 0 + 1, symbol * 0 + 2):
+        cost += np.bincount(item, m.word_mix.cost(at, bit), m.symbols)
+    assert np.sum(2.0**-cost) == pytest.approx(1, abs=0.02)
+    one = m.spelling([bytes([b]) for b in range(256)] + [b""])
+    assert np.sum(2.0 ** -one) < 1
+
+
+def test_language_model_is_the_same_for_any_partitioning(spark, odd):
+    rows = [(i % 250, words(70, i % 250, 300) + f" rare{i % 9} Own{i % 250}", "s") for i in range(300)] + odd_rows()
+    a, b = (sorted((r.doc_id or -1, round(r.score, 9)) for r in mixing_lm.scored(docs(spark, rows).repartition(n)).collect()) for n in (1, 13))
+    assert a == b and len(a) == len(rows)
+    held = [r for r in odd_rows() if zlib.crc32(str(r[0] or "null").encode()) % 7 == 2] or [(2, "x", "s")]
+    only = mixing_lm.scored(docs(spark, [(i, f"w{i} x", "s") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
+    assert held and only and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in only)
 
 
 # 7 ---------------------------------------------------------------------------
