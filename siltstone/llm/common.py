@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return str(jsc.getCheckpointDir().get())
 
 
+#: Tables of written() that are not dropped yet, by the scratch() that they were made in.
+_made: list[list[DataFrame]] = [[]]
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -41,6 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path  # for drop()
+    _made[-1].append(out)
     return out
 
 
@@ -51,6 +58,53 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        for tables in _made:
+            tables[:] = [x for x in tables if x is not df]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops at its end the tables written inside, which nothing may read after that."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        tables = list(_made[-1])
+        for df in tables:
+            drop(df)
+        _made.pop()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written inside a scratch(), to stay after it."""
+    out = written(df)
+    _made[-2].append(_made[-1].pop())
+    return out
+
+
+def drop_all() -> None:
+    """Delete every table that is left, when the results of all queries have been read."""
+    for df in [x for tables in _made for x in tables]:
+        drop(df)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {x.lower() for x in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """df as one struct column, so that no helper column can clash with one of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "row", **changed: Column) -> DataFrame:
+    """The columns of as_rows again, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col(f"{name}.`{c}`")).alias(c) for c in columns])
 
 
 def row_key() -> Column:
@@ -59,10 +113,10 @@ def row_key() -> Column:
 
 
 def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of docs for each row_key in keys (__key)."""
-    first = Window.partitionBy("__key").orderBy(F.lit(0))
-    kept = docs.withColumn("__key", row_key()).join(keys.select("__key"), "__key", "left_semi")
-    return kept.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).select(*docs.columns)
+    """One row of docs for each row_key in keys (key)."""
+    key, n = fresh(docs, "key"), fresh(docs, "n")
+    kept = docs.withColumn(key, row_key()).join(keys.select(F.col("key").alias(key)), key, "left_semi")
+    return kept.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def words_of(text: Column) -> Column:

@@ -1,17 +1,19 @@
 """Operator 8: cross-site boilerplate lines by distinct-site spread.
 
-A line is compared lower-cased, with runs of white space as one space. Lines
-are hashed; those seen at least min_sites times get a HyperLogLog sketch of
-their sites, built per task and merged by the aggregation. An estimate within
-`margin` of min_sites is replaced by an exact count of distinct sites. A line
-on min_sites sites or more is removed from every document but the first (least
-doc_id) that holds it, so no line vanishes from the corpus.
-
-Defined cases: null text counts as empty and stays null; lines without a word
-are never removed; a null site is a site of its own; rows with a null doc_id
-are one document, first only where no other holds the line; repeated rows are
-edited alike; empty
-tables give empty results; other columns pass through.
+A line is compared lower-cased, with runs of white space as one space. One
+aggregation by line hash merges HyperLogLog sketches of the lines' sites, built
+per task, and finds the first document. An estimate of more than `margin` above
+min_sites decides by itself, one of more than `margin` below it as well; only
+lines in between get an exact count of distinct sites. A line on min_sites sites
+or more is removed from every document but the first (least doc_id) that holds
+it, so no line vanishes from the corpus. Sketches of up to some hundred sites
+are exact in practice, so `margin` is far wider than their error there.
+
+Defined cases: null text counts as empty and stays null; very long texts are
+edited whole; lines without a word are never removed; a null site is a site of
+its own; rows with a null doc_id are one document, first only where no other
+holds the line; repeated rows are edited alike; empty tables give empty results;
+other columns, whatever their names, pass through `dedup_lines`.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import SPACE, as_rows, table, unpacked, written
 
 MIN_SITES = 10
 MARGIN = 0.1
 LG_K = 12
+#: Line hashes that a join broadcasts at most: 16 bytes each.
+BROADCAST = 200_000
 
 
 def normalised(line: Column) -> Column:
@@ -46,33 +50,43 @@ def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """(h, first_doc) of the lines on min_sites or more sites. lines: (doc, site, h)."""
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where(F.col("n") >= min_sites).select("h", "first_doc")
-    seen = written(lines.select("h", "site").join(often, "h").groupBy("h", "site", "first_doc").agg(F.count("*").alias("n")))
-    spread = seen.groupBy("h", "first_doc").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), LG_K)).alias("sites"))
-    sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h", "first_doc")
-    near = spread.where(F.col("sites").between(int(min_sites * (1 - margin)), min_sites * (1 + margin))).select("h", "first_doc")
-    exact = seen.select("h", "site").join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionByName(near.join(exact.select("h"), "h", "left_semi"))
+    sketch = F.hll_sketch_agg(F.xxhash64("site"), LG_K)
+    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(sketch).alias("sites"), F.min("doc").alias("first_doc"))
+    spread = written(spread.where(F.col("sites") >= int(min_sites * (1 - margin))))
+    sure = F.col("sites") > min_sites * (1 + margin)
+    near = held_by(lines, spread.where(~sure)).select("h", "site").distinct()
+    exact = near.groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    return spread.where(sure).select("h", "first_doc").unionByName(spread.where(~sure).select("h", "first_doc").join(exact.select("h"), "h", "left_semi"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, site: str = "source") -> DataFrame:
-    """docs with their boilerplate lines gone; adds n_lines and n_removed."""
+def held_by(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """lines joined to some of the hashes (h, first_doc). These travel to the lines where there are BROADCAST at most, so that the commonest line isn't gathered; beyond that the join sorts both, and Spark splits skewed hashes."""
+    small = some.count() <= BROADCAST
+    return lines.join(F.broadcast(some) if small else some, "h")
+
+
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, site: str = "source") -> DataFrame:
+    """(row, n_lines, n_removed, text): docs as structs, and their texts without boilerplate lines."""
     rows = written(site_lines(docs, site))
     bad = written(boilerplate(rows, min_sites, margin))
-    hits = rows.join(bad, "h").where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc").agg(F.collect_set("h").alias("__bad"))
-    out = docs.join(hits.withColumnRenamed("doc", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__bad"), line_hash(x)) | ~x.rlike(f"[^{SPACE}]")))
-    out = out.withColumn("__kept", kept).withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long"))
-    return (
-        out.withColumn("n_removed", F.when(F.col("__bad").isNotNull(), F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"))
-        .withColumn("text", F.when(F.col("__bad").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
-        .drop("__kept", "__bad")
-    )
+    hits = held_by(rows, bad).where(~F.col("doc").eqNullSafe(F.col("first_doc"))).groupBy("doc").agg(F.collect_set("h").alias("bad"))
+    out = as_rows(docs).select("row", F.col("row.doc_id").alias("id"))
+    out = out.join(hits, F.col("id").eqNullSafe(F.col("doc")), "left")
+    lines = lines_of(F.col("row.text"))
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("bad"), line_hash(x)) | ~x.rlike(f"[^{SPACE}]")))
+    out = out.withColumn("kept", kept).withColumn("n_lines", F.when(F.col("row.text").isNotNull(), F.size(lines)).otherwise(0).cast("long"))
+    removed = F.when(F.col("bad").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(0).cast("long")
+    return out.select("row", "n_lines", removed.alias("n_removed"), F.when(F.col("bad").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text")).alias("text"))
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, site: str = "source") -> DataFrame:
+    """docs with their boilerplate lines gone."""
+    return unpacked(removals(docs, min_sites, margin, site), docs.columns, text=F.col("text"))
 
 
 def op8_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+    slim = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return removals(slim).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
 OP8_SQL = """

@@ -174,7 +174,8 @@ def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY)
     cut = written(pieces(docs, window, vocabulary))
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # window rows at most
     plan = spark.createDataFrame(places(counts, window), "_length long, _first long, _end long, _sequence long, _n long, _offset long")
-    ranked = numbered(cut, "length", ["doc_id", "start", "ids_crc32"], ["doc_id", "start", "ids_crc32"], "_rank")
+    placed = cut.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    ranked = numbered(placed, "length", ["_file", "_place"], ["doc_id", "start", "ids_crc32"], "_rank")
     met = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     at = F.col("_rank") - F.col("_first")
     return met.select(

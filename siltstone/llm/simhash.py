@@ -2,26 +2,31 @@
 
 Texts are fingerprinted in Arrow batches, each whole. Equal fingerprints form
 a class, linked without pairs. Every class gets a pivot table: its Hamming
-distances to fixed reference fingerprints. By the triangle inequality the
-distances of two fingerprints that differ in at most `radius` bits differ by at
-most `radius` at every pivot, so a pair with a larger coordinate difference is
-discarded; survivors are verified by the Hamming distance itself.
-
-Pairs meet where they may: among radius + 1 blocks of bits one is equal in both
-(pigeonhole), and at the first pivot their distances fall into the same cell or
-neighbouring ones. Both are join keys, and the maximum coordinate difference is
-the join condition, so only survivors leave the join. Skewed keys are split by
-Spark at run time.
+distances to PREFIXES + RANDOM fixed reference fingerprints. The first PREFIXES
+have ones in their first 0, 2, 4, .. bits; the others are random.
+
+Pairs meet by the table alone. A differing bit changes the difference of one
+pair of neighbouring prefix distances only, so if these differences are cut into
+radius + 3 groups, any two fingerprints within radius agree in three groups at
+least: each choice of three groups, with the differences in them, is a join key
+(about 29 bits of the table's information for radius 2, so groups stay small
+when the corpus grows). By the triangle inequality the distances of two such
+fingerprints differ by radius at most at every pivot: a pair with a larger
+coordinate difference is discarded by the join condition, and survivors are
+verified by the Hamming distance itself. Skewed keys are split by Spark at run
+time. No pair within the radius is lost.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
-zero and links like any other; a null doc_id takes part and sorts below all;
-repeated rows are rows of one component; an empty table gives an empty result;
-other columns are not read by `near_duplicates` and kept by `deduplicated`.
+zero and links like any other; very long texts are read whole; a null doc_id
+takes part and sorts below all; repeated rows are rows of one component; an
+empty table gives an empty result; other columns, whatever their names, are not
+read by `near_duplicates` and kept by `deduplicated`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,36 +41,45 @@ BITS = 64
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-PIVOTS = 16
-#: Width of a cell of distances at the first pivot.
-CELL = RADIUS + 1
+#: Reference fingerprints: with ones in the first 0, 2, .. 64 bits, and random ones.
+PREFIXES, RANDOM = 33, 15
+#: Groups of neighbouring pivots that a key joins.
+AGREE = 3
 
 _SET = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """Bit b is 1 if over half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the runs of k words, repeats included; of the whole sequence where there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = len(words) - k + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
+    if n <= 1:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[k - 1 :] - 1).tolist()
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def bits_over_half(hashes: np.ndarray) -> int:
+    """Bit b is 1 if over half of the hashes have it."""
+    n = len(hashes)
     lanes = hashes.view(np.uint8).reshape(n, 8)
     out = 0
     for lane in range(8):
         ones = np.bincount(lanes[:, lane], minlength=256) @ _SET
-        byte = sum(1 << b for b in range(8) if 2 * ones[b] > n)
-        out |= byte << (8 * lane)
+        out |= sum(1 << b for b in range(8) if 2 * ones[b] > n) << (8 * lane)
     return out
 
 
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    return bits_over_half(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -78,9 +92,11 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {doc_type}, fp long")
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
+def pivots() -> list[int]:
     """Reference fingerprints from a rule, as signed longs."""
-    raw = np.array([xxhash.xxh64_intdigest(f"pivot-{i}", SEED) for i in range(n)], np.uint64)
+    step = BITS // (PREFIXES - 1)
+    prefixes = [(1 << (step * i)) - 1 for i in range(PREFIXES)]
+    raw = np.array([*prefixes, *(xxhash.xxh64_intdigest(f"pivot-{i}", SEED) for i in range(RANDOM))], np.uint64)
     return [int(x) for x in raw.view(np.int64)]
 
 
@@ -88,26 +104,32 @@ def hamming(a: Column, b: Column | int) -> Column:
     return F.bit_count(a.bitwiseXOR(b if isinstance(b, Column) else F.lit(b)))
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """radius + 1 structs (number, bits): equal in one at least for fingerprints within radius."""
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+def tabled(classes: DataFrame) -> DataFrame:
+    """classes with d: the distances of fp to all pivots."""
+    return classes.withColumn("d", F.array(*[hamming(F.col("fp"), p).cast("byte") for p in pivots()]))
+
+
+def meeting_keys(d: Column, radius: int = RADIUS) -> Column:
+    """Hashes of the differences of neighbouring prefix distances in each choice of AGREE groups."""
+    groups = radius + AGREE
+    edges = [round(i * (PREFIXES - 1) / groups) for i in range(groups + 1)]
+    steps = [F.array(*[d[j + 1] - d[j] for j in range(lo, hi)]) for lo, hi in zip(edges, edges[1:])]
+    return F.array(*[F.xxhash64(F.lit(i), *[steps[g] for g in chosen]) for i, chosen in enumerate(combinations(range(groups), AGREE))])
+
+
+def within(a: Column, b: Column, radius: int) -> Column:
+    """Whether two tables nowhere differ by more than radius."""
+    out = F.lit(True)
+    for i in range(PREFIXES + RANDOM):
+        out = out & (F.abs(a[i] - b[i]) <= radius)
+    return out
 
 
 def close_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) of the ids of classes (id, fp) whose distinct fingerprints differ in at most radius bits."""
-    tabled = classes.withColumn("d", F.array(*[hamming(F.col("fp"), p).cast("byte") for p in pivots()]))
-    cell = F.floor(F.col("d")[0] / F.lit(radius + 1)).cast("int")
-    tabled = tabled.select("id", "fp", "d", F.explode(blocks(F.col("fp"), radius)).alias("k"), cell.alias("cell")).select("id", "fp", "d", "k.block", "k.bits", "cell")
-    left = tabled.select(*[F.col(c).alias(f"l_{c}") for c in tabled.columns])
-    # each fingerprint looks into its own cell and the next one, so that a pair of neighbouring cells meets once
-    right = tabled.select("*", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("to"))
-    apart = F.lit(True)
-    for i in range(PIVOTS):
-        apart = apart & (F.abs(F.col("l_d")[i] - F.col("d")[i]) <= radius)
-    same = (F.col("l_block") == F.col("block")) & (F.col("l_bits") == F.col("bits")) & (F.col("l_cell") == F.col("to"))
-    once = (F.col("to") > F.col("cell")) | (F.col("l_fp") < F.col("fp"))
-    met = left.join(right, same & once & apart)
+    keyed = tabled(classes).select("id", "fp", "d", F.explode(meeting_keys(F.col("d"), radius)).alias("k"))
+    left = keyed.select(*[F.col(c).alias(f"l_{c}") for c in keyed.columns])
+    met = left.join(keyed, (F.col("l_k") == F.col("k")) & (F.col("l_fp") < F.col("fp")) & within(F.col("l_d"), F.col("d"), radius))
     return met.where(hamming(F.col("l_fp"), F.col("fp")) <= radius).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -131,7 +153,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 def deduplicated(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the least doc_id, null first, then of the least hash."""
     rows = written(fingerprints(docs.select(row_key().alias("doc_id"), "text"), k))
-    keep = rooted(rows, radius).groupBy("root").agg(F.min("id").alias("__key"))
+    keep = rooted(rows, radius).groupBy("root").agg(F.min("id").alias("key"))
     return one_row_each(docs, keep)
 
 
