@@ -1,24 +1,36 @@
 """Operator 4: main text of web pages by tree scoring.
 
 A page becomes a tree of elements. Elements that are never part of an article
-(scripts, forms, menus, footers and the like, by tag, role, class or id) are
-left out with all they hold. Each paragraph, a run of text between block
-boundaries, gives points for its length and commas to its parent, half of them
-to the grandparent and a falling share to the ancestors above. An element's
-points are discounted by its link density, and the best one is the container;
-an article or main element around it takes its place. Siblings with enough
-points, and headings before it, are kept with it.
+(scripts, forms, menus, footers and the like by tag; comments, adverts, cookie
+notices and the like by role, class or id) are left out with all they hold. Each
+paragraph, a run of text between block boundaries, gives points for its length
+and commas to its parent, half of them to the grandparent and a falling share to
+the next ancestors. An element's points are discounted by its link density, and
+the best one is the container; an article or main element around it takes its
+place. Its siblings are kept with it unless links make up most of their text,
+and headings before it.
+
+Inside an article element less is left out: names such as `tags`, `share` or
+`notice` only where the element reads like a set of links or labels, without a
+paragraph; lists of links stay. An article inside an article is a reader's
+comment, as the HTML standard has it. Outside, link lists are menus if their
+links are short. Names count as whole words between spaces, - and _; a header
+stays with its article if it is named after it (`post-header`, `entry-header`).
+
+Work grows linearly with the page, however deep it nests.
 
 Defined cases: null html counts as empty; a page without text gives an empty
-text; open or badly nested tags are closed as browsers do; a comment or raw
-element that never ends runs to the end of the page; repeated rows give
-repeated results; an empty table gives an empty result; other columns are not
-read.
+text; very long pages are read whole; open or badly nested tags are closed as
+browsers do; a quoted value that never ends stops at the next space or `>`; a
+comment or raw element that never ends runs to the end of the page; repeated
+rows give repeated results; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,143 +39,202 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: White space and slashes before an attribute, its name, and what precedes its value.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)(\s*=\s*)?")
+BARE = re.compile(r"[^\s>]*")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp"}
 LEFT_OUT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", *HEADINGS}
 #: Elements that an opening tag of the same kind, or another of the set, ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Names, or parts between - and _, of classes, ids and roles beside an article.
+#: Words of classes, ids and roles beside an article, wherever they stand.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|footer|masthead|"
-    r"menu|nav|navbar|navigation|navlinks|toolbar|pagination|pager|related|recommend\w*|share|sharing|social|sidebar|side|rail|widgets?|subscribe|newsletter|signup|login|search|skip|tags|complementary|contentinfo|dialog|hidden|outbrain|taboola)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|popup|modal|overlay|footer|masthead|"
+    r"menu|nav|navbar|navigation|navlinks|toolbar|pagination|pager|related|recommend\w*|sidebar|widgets?|subscribe|newsletter|signup|login|complementary|contentinfo|dialog|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|site-?header|page-?header)(?:$|[\s_-])", re.I)
+#: Words that an article may use for a part of its own.
+PERHAPS = re.compile(r"(?:^|[\s_-])(?:banner|notices?|alert|share|sharing|social|side|rail|search|skip|tags|hidden)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|top|global)[_-]?)?(?:header|topbar)(?:$|\s)", re.I)
+#: Shares of a paragraph's points that its element and those above get.
 SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
-#: Of list-like elements, the link density from which they are menus.
-MENU_DENSITY = 0.75
+#: Of list-like elements, the link density from which they are menus, and the most characters a link has on average.
+MENU_DENSITY, MENU_LINK = 0.75, 30
+#: A paragraph has so many characters.
+PARAGRAPH = 25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "links", "texts")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "links", "paragraphs", "perhaps", "inside")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, perhaps: bool = False, inside: bool = False) -> None:
+        self.tag, self.parent, self.perhaps, self.inside = tag, parent, perhaps, inside
         self.children: list[Node | str] = []
-        self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
+        self.points, self.chars, self.linked, self.links, self.paragraphs = 0.0, 0, 0, 0, 0
 
     def score(self) -> float:
         return self.points * (1 - self.linked / self.chars) if self.chars else 0.0
 
+    def density(self) -> float:
+        return self.linked / self.chars if self.chars else 0.0
+
+
+class Tags:
+    """Reads the attributes of one page's tags; each closing quote is looked for once."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last = html, {q: html.rfind(q) for q in "\"'"}
 
-def left_out(tag: str, source: str, inside: bool) -> bool:
-    """Whether the element is none of an article's. inside: it stands in an article or main element."""
-    if tag in LEFT_OUT or (tag == "header" and not inside):
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(source):
-        value = m[2] or m[3] or m[4] or ""
-        if BESIDE.search(value) or (not inside and tag not in HEADINGS and HEADER.search(value)):
-            return True
-    return False
+    def read(self, pos: int) -> tuple[int, str, bool]:
+        """From behind a tag's name: where the tag ends, its class, id and role, and whether it closes itself."""
+        html, end, names = self.html, len(self.html), []
+        while pos < end and html[pos] != ">":
+            m = ATTRIBUTE.match(html, pos)
+            at = m.end()
+            if m[2] is None:
+                pos = at if at > pos else pos + 1
+                continue
+            quote = html[at : at + 1]
+            if quote in self.last and self.last[quote] > at:
+                close = html.index(quote, at + 1)
+                value, pos = html[at + 1 : close], close + 1
+            else:
+                found = BARE.match(html, at)
+                value, pos = found[0], found.end()
+            if m[1].lower() in ("class", "id", "role"):
+                names.append(value)
+        return min(pos + 1, end), " ".join(names), html[pos - 1 : pos] == "/"
+
+
+def kind_of(tag: str, names: str, articles: int, mains: int) -> str:
+    """"out" for an element that is none of an article's, "perhaps" for one whose content decides, else nothing."""
+    if tag in LEFT_OUT or (tag == "header" and not (articles or mains)) or (tag == "article" and articles):
+        return "out"
+    if tag in ("body", "html", "article", "main") or not names:
+        return ""
+    if BESIDE.search(names) or (not (articles or mains) and tag not in HEADINGS and HEADER.search(names)):
+        return "out"
+    if PERHAPS.search(names):
+        return "perhaps" if articles else "out"
+    return ""
 
 
 def tree(html: str) -> tuple[Node, list[Node]]:
     """The root, and all nodes in page order. Block texts are strings among the children."""
     root = Node("body", None)
     nodes, here, buffer = [root], root, []
-    linked, inside, in_link = 0, 0, 0
+    linked, articles, mains, in_link = 0, 0, 0, 0
+    opened: Counter[str] = Counter()  # elements above here, by tag
     skip: list[str] = []  # open elements from the one left out on
+    skipped: Counter[str] = Counter()
+    tags = Tags(html)
 
     def flush() -> None:
         nonlocal linked, buffer
-        if buffer:
-            text = " ".join(unescape("".join(buffer)).split())
-            if text:
-                here.children.append(text)
-                share = min(1.0, linked / max(1, sum(map(len, buffer))))
-                points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0
-                node, level = here, 0
-                while node is not None:
-                    node.chars += len(text)
-                    node.linked += round(len(text) * share)
-                    if points:
-                        # a paragraph's element passes the points on to those above
-                        rank = level - (here.tag in ("p", "pre", "blockquote", "td", "li", *HEADINGS))
-                        if rank >= 0:
-                            node.points += points * (SHARES[rank] if rank < len(SHARES) else 1 / (3 * rank))
-                    node, level = node.parent, level + 1
-            buffer, linked = [], 0
+        if not buffer:
+            return
+        text = " ".join(unescape("".join(buffer)).split())
+        if text:
+            here.children.append(text)
+            here.chars += len(text)
+            here.linked += round(len(text) * min(1.0, linked / max(1, sum(map(len, buffer)))))
+            if len(text) >= PARAGRAPH:
+                here.paragraphs += 1
+                points = 1 + text.count(",") + min(len(text) / 100, 3)
+                # a paragraph's element passes the points on to those above
+                node = here.parent if here.tag in PARAGRAPHS and here.parent is not None else here
+                for share in SHARES:
+                    if node is None:
+                        break
+                    node.points += points * share
+                    node = node.parent
+        buffer, linked = [], 0
+
+    def leave() -> None:
+        nonlocal here, articles, mains
+        articles -= here.tag == "article"
+        mains -= here.tag == "main"
+        opened[here.tag] -= 1
+        here = here.parent
 
     pos, end = 0, len(html)
     while pos < end:
-        m = TOKEN.match(html, pos)
-        token, pos = m[0], m.end()
-        if token[0] != "<" or token == "<":
+        at = html.find("<", pos)
+        if at != pos:
+            at = end if at < 0 else at
             if not skip:
-                buffer.append(token)
-                if in_link:
-                    linked += len(token)
+                buffer.append(html[pos:at])
+                linked += (at - pos) * in_link
+            pos = at
+            continue
+        if html.startswith("<!--", pos):
+            at = html.find("-->", pos + 2)
+            pos = end if at < 0 else at + 3
             continue
-        named = TAG.match(token)
+        if html[pos + 1 : pos + 2] in ("!", "?"):
+            at = html.find(">", pos)
+            pos = end if at < 0 else at + 1
+            continue
+        closing = html.startswith("</", pos)
+        named = NAME.match(html, pos + 1 + closing)
         if not named:
+            if not skip:
+                buffer.append("<")
+                linked += in_link
+            pos += 1
             continue
-        tag, closing = named[1].lower(), token[1] == "/"
+        tag = named[0].lower()
+        pos, names, closed = tags.read(named.end())
         if skip:
             if closing:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-            elif tag not in VOID and not token.endswith("/>"):
+                if skipped[tag] > 0:
+                    while True:
+                        last = skip.pop()
+                        skipped[last] -= 1
+                        if last == tag:
+                            break
+            elif tag not in VOID and not closed:
                 if tag in RAW:
                     pos = raw_end(html, pos, tag)
                 else:
-                    if tag == "p" and skip[-1] == "p" or tag in ENDS and skip[-1] in ENDS[tag] and len(skip) > 1:
-                        skip.pop()
+                    if (tag == "p" and skip[-1] == "p" or tag in ENDS and skip[-1] in ENDS[tag]) and len(skip) > 1:
+                        skipped[skip.pop()] -= 1
                     skip.append(tag)
+                    skipped[tag] += 1
             continue
         if closing:
             if tag == "a":
                 in_link = 0
             elif tag not in INLINE:
-                at = here
-                while at is not None and at.tag != tag:
-                    at = at.parent
-                if at is not None and at is not root:
-                    flush()
-                    while here is not at:
-                        inside -= here.tag in ("article", "main")
-                        here = here.parent
-                    inside -= at.tag in ("article", "main")
-                    here = at.parent
+                flush()
+                if opened[tag] > 0:
+                    while here.tag != tag:
+                        leave()
+                    leave()
                     in_link = 0
-                else:
-                    flush()
             continue
-        if tag in ("br", "hr", "wbr", "img"):
+        if tag in VOID or tag in ("html", "body"):
             if tag == "hr":
                 flush()
             elif tag == "br":
                 buffer.append(" ")
             continue
-        if tag in VOID or tag in ("html", "body"):
-            continue
         block = tag not in INLINE
-        if left_out(tag, token, inside > 0):
+        kind = kind_of(tag, names, articles, mains)
+        if kind == "out":
             if block:
                 flush()
             if tag in RAW:
                 pos = raw_end(html, pos, tag)
-            elif not token.endswith("/>"):
+            elif not closed:
                 if tag != "p" and block and here.tag == "p":
-                    here = here.parent
+                    leave()
                 skip = [tag]
+                skipped = Counter(skip)
             continue
         if tag == "a":
             in_link = 1
@@ -173,27 +244,39 @@ def tree(html: str) -> tuple[Node, list[Node]]:
             continue
         flush()
         in_link = 0
-        if here.tag == "p" or here.tag in HEADINGS and tag in HEADINGS:
-            here = here.parent
-        elif tag in ENDS and here.tag in ENDS[tag] and here.parent is not None:
-            here = here.parent
-        node = Node(tag, here)
-        here.children.append(node)
-        nodes.append(node)
-        inside += tag in ("article", "main")
-        here = node
+        if here.tag == "p" or here.tag in HEADINGS and tag in HEADINGS or tag in ENDS and here.tag in ENDS[tag] and here.parent is not None:
+            leave()
+        here = Node(tag, here, kind == "perhaps", articles > 0)
+        here.parent.children.append(here)
+        nodes.append(here)
+        opened[tag] += 1
+        articles += tag == "article"
+        mains += tag == "main"
     flush()
+    for node in reversed(nodes[1:]):  # children come after their parents
+        up = node.parent
+        up.chars += node.chars
+        up.linked += node.linked
+        up.links += node.links
+        up.paragraphs += node.paragraphs
     return root, nodes
 
 
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
 def raw_end(html: str, pos: int, tag: str) -> int:
     """Where the text of a raw element ends, its closing tag included."""
-    m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
+    m = _RAW_ENDS[tag].search(html, pos)
     return m.end() if m else len(html)
 
 
 def menu(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.chars > 0 and node.linked >= MENU_DENSITY * node.chars and len(node.children) + node.links >= 3
+    """Whether an element is a set of links or labels rather than text."""
+    if node.perhaps:
+        return not node.paragraphs or node.density() > 1 / 3
+    listed = not node.inside and node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.links >= 3
+    return listed and node.density() >= MENU_DENSITY and node.linked <= MENU_LINK * node.links
 
 
 def blocks(node: Node, out: list[str]) -> list[str]:
@@ -219,26 +302,21 @@ def main_text(html: str | None) -> str:
     while at is not None:
         if at.tag in ("article", "main"):
             best = at
-            break
+            if at.tag == "article":
+                break
         at = at.parent
-    kept, parent = [best], best.parent
-    if parent is not None:
-        limit, before, kept = 0.2 * best.score(), True, []
-        for x in parent.children:
-            if x is best:
-                before = False
-                kept.append(x)
-            elif isinstance(x, Node):
-                plain = x.chars and x.linked < 0.25 * x.chars
-                if plain and (x.score() >= max(limit, 1) or (x.tag == "p" and x.chars >= 80) or (before and x.tag in HEADINGS)):
-                    kept.append(x)
-            elif len(x) >= 80:
-                kept.append(x)
     out: list[str] = []
-    for x in kept:
+    if best.parent is None or best.tag in ("article", "main"):
+        # headings of the same parent right before an article are its title
+        before = best.parent.children[: best.parent.children.index(best)] if best.parent is not None else []
+        title = next((i for i in range(len(before), 0, -1) if not (isinstance(before[i - 1], Node) and before[i - 1].tag in HEADINGS)), 0)
+        for x in [*before[title:], best]:
+            blocks(x, out)
+        return "\n".join(out)
+    for x in best.parent.children:
         if isinstance(x, str):
             out.append(x)
-        else:
+        elif x is best or (x.chars and x.density() < 0.5):
             blocks(x, out)
     return "\n".join(out)
 

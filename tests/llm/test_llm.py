@@ -162,8 +162,41 @@ def test_article_edges(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "A paragraph, with commas, and a good deal of text in it, so that it counts."
+KEPT = {
+    "unquoted apostrophe": (f"<article><p title=it's>{LONG}</p><p>the rest of it</p></article>", [LONG, "the rest of it"]),
+    "names of the article's own": (f"<article><h1>T</h1><p>{LONG}</p><p class=tags>{LONG}</p><div class='search'>{LONG}</div><p id=notice>{LONG}</p></article>", ["T", *[LONG] * 4]),
+    "labels in an article": (f"<article><p>{LONG}</p><div class='share'><a href=x>Share</a></div><p class='tags'>one two</p></article>", [LONG]),
+    "references": (f"<article><p>{LONG}</p><ul><li><a href=1>First reference</a><li><a href=2>Second</a><li><a href=3>Third</a></ul></article>", [LONG, "First reference", "Second", "Third"]),
+    "short sibling section": (f"<div><section><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>Two</h2><p>Short para of the same article.</p></section></div>", ["One", LONG, LONG, "Two", "Short para of the same article."]),
+    "header of a post": (f"<div class='post'><div class='post-header'><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div>", ["Title", LONG, LONG]),
+    "reader's comment": (f"<article><p>{LONG}</p><article><p>I comment, as a reader, on what I have read.</p></article></article>", [LONG]),
+    "menu outside": (f"<div><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul><p>{LONG}</p><p>{LONG}</p></div>", [LONG, LONG]),
+    "no closing quote": (f"<article><p class='x>{LONG}</p><p>{LONG}</article>", None),
+}
+
+
+@pytest.mark.parametrize("case", KEPT)
+def test_article_keeps_its_own(case):
+    html, want = KEPT[case]
+    got = html_text.main_text(html)
+    assert LONG in got if want is None else got == "\n".join(want)
+
+
+def test_deep_and_hostile_pages_take_linear_time():
+    began = __import__("time").time()
+    n = 100_000
+    assert html_text.main_text("<div>" * n + LONG + "</div>" * n) == LONG
+    assert html_text.main_text("<nav>" + "<div>" * n + "</b>" * n + f"</nav><p>{LONG}") == LONG
+    assert html_text.main_text(f"<p>{LONG}</p>" + "</section>" * n) == LONG
+    assert len(html_text.main_text("".join(f"<div>{LONG}" for _ in range(20_000)))) > 20_000
+    html_text.main_text("<a title='" * n)
+    html_text.main_text("<!-- " * n)
+    assert __import__("time").time() - began < 20
+
+
 def test_pages(spark):
-    df = spark.createDataFrame([(1, "u", None), (2, None, PAGE), (2, None, PAGE)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "u", None, "a", 1), (2, None, PAGE, "b", 2), (2, None, PAGE, None, None)], "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extracted(df).collect()
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and len(got) == 3
     assert html_text.extracted(df.limit(0)).count() == 0
