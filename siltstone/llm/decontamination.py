@@ -16,7 +16,8 @@ is under its threshold, and else sorts and merges, splitting skewed keys.
 Defined cases: null texts count as empty; texts and items without words match
 nothing; documents under five words only match shorter items; repeated rows of
 one doc_id are one document; null ids are ids; equal items are reported each;
-empty tables give empty results; other columns are not read. `decontaminated`
+empty tables give empty results; very long texts are searched whole; other
+columns, whatever their names, are not read and kept by `decontaminated`, which
 takes each text without an id as a document.
 """
 
@@ -25,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, with_windows, written
+from .common import fresh, row_key, table, with_windows, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Ids of documents that a join broadcasts at most.
+BROADCAST = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -60,6 +63,14 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return sized.join(largest, "part").select("item", "n", "part", "h", F.slice(F.array_sort("h"), F.lit(1), k).alias("sketch"))
 
 
+def runs_of(named: DataFrame) -> DataFrame:
+    """named (doc, text) with h: the hashes of its shingles, repeats included; a text with fewer words than a shingle is one shingle."""
+    runs = with_windows(named.withColumn("__w", doc_words(F.col("text"))), "__w", SHINGLE, "h")
+    brief = F.size("__w") < SHINGLE + 2
+    whole = F.filter("__w", lambda w: w != "")
+    return runs.withColumn("h", F.when(brief & (F.size(whole) > 0) & (F.size(whole) < SHINGLE), F.array(F.xxhash64(F.array_join(whole, " ")))).otherwise(F.col("h")))
+
+
 def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles): the items that documents hold. docs: (doc_id, text), items: (item_id, text)."""
     found = items.select(F.struct(F.col("item_id").alias("id")).alias("item"), "text")
@@ -67,19 +78,16 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     probes = sk.select("item", "n", F.explode("sketch").alias("s"))
     probes = written(probes.groupBy("s").agg(F.min("n").alias("least")))
     named = docs.select(F.struct(F.col("doc_id").alias("id")).alias("doc"), "text")
-    runs = with_windows(named.withColumn("__w", doc_words(F.col("text"))), "__w", SHINGLE, "h")
-    # a text with fewer words than a shingle is one shingle
-    brief = F.size("__w") < SHINGLE + 2
-    whole = F.filter("__w", lambda w: w != "")
-    runs = runs.withColumn("h", F.when(brief & (F.size(whole) > 0) & (F.size(whole) < SHINGLE), F.array(F.xxhash64(F.array_join(whole, " ")))).otherwise(F.col("h")))
     # explode_outer, since Spark derives a filter on the array's size from explode and computes the array a second time for it;
     # the size is a column before it, so that no exploded row carries the array along
-    hits = runs.withColumn("m", F.size("h")).select("doc", "m", F.explode_outer("h").alias("s")).join(probes, "s").where(F.col("m") >= F.floor(F.col("least") * containment))
+    hits = runs_of(named).withColumn("m", F.size("h")).select("doc", "m", F.explode_outer("h").alias("s")).join(probes, "s").where(F.col("m") >= F.floor(F.col("least") * containment))
     hits = written(hits.select("doc", "s").distinct())
     pairs = hits.join(sk.select("item", F.explode("sketch").alias("s")), "s").select("doc", "item").distinct()
     full = sk.select("item", "n", F.explode("h").alias("s"))
-    close = hits.select("doc").distinct()
-    again = runs.join(close, "doc", "left_semi").select("doc", F.explode_outer("h").alias("s"))
+    # only the texts of pairs are hashed again; the semi-join stands before the hashing
+    close = written(pairs.select("doc").distinct())
+    close = F.broadcast(close) if close.count() <= BROADCAST else close
+    again = runs_of(named.join(close, "doc", "left_semi")).select("doc", F.explode_outer("h").alias("s"))
     shared = again.join(full, "s").groupBy("doc", "item", "n").agg(F.count_distinct("s").alias("shared"))
     right = shared.where(F.col("shared") >= F.ceil(F.round(F.col("n") * containment, 6))).join(pairs, ["doc", "item"], "left_semi")
     return right.select(F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), "shared", F.col("n").cast("long").alias("n_shingles"))
@@ -88,9 +96,10 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """docs without those that hold an item. Rows of one doc_id are one document; rows without an id are documents of their own."""
     key = row_key()
-    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNull(), key).otherwise(key.withField("t", F.lit(None).cast("long")).withField("n", F.lit(None).cast("int"))))
-    leaks = contained(keyed.select(F.col("__key").alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(leaks, "__key", "left_anti").select(*docs.columns)
+    name = fresh(docs, "key")
+    keyed = docs.withColumn(name, F.when(F.col("doc_id").isNull(), key).otherwise(key.withField("t", F.lit(None).cast("long")).withField("n", F.lit(None).cast("int"))))
+    leaks = contained(keyed.select(F.col(name).alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(leaks, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ min_left of the characters in its lines is depleted and rejected.
 The base rules measure each text on its own: see `base_metrics`.
 
 Defined cases: null text counts as empty (no words: base_failed); a null host
-is a host of its own, a null doc_id a document of its own; repeated rows are
-one document for the line counts and are judged alike; an empty table gives an
-empty result; other columns pass through `judged`. `edited_documents` returns
-the texts without the lines; a line of the first document stays there even
-where that document is rejected.
+is a host of its own, a null doc_id a document of its own; very long texts are
+measured whole; repeated rows are one document for the line counts and are
+judged alike; an empty table gives an empty result; other columns, whatever
+their names, pass through `kept_documents` and `edited_documents`. The latter
+returns the texts without the lines; a line of the first document stays there
+even where that document is rejected.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, with_windows, words_of, written
+from .common import SPACE, as_rows, table, unpacked, with_windows, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 #: White space but for space and line feed.
@@ -102,34 +103,34 @@ def depletion(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, h
 
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source", texts: bool = True, gone: bool = False) -> DataFrame:
-    """docs with the base metrics, left_share and kept; texts: whether the text stays; gone: with gone_lines, the hashes of the lines above the limits."""
+    """row (docs as structs; of doc_id alone without texts), the base metrics, left_share and kept; gone: with gone_lines, the hashes of the lines above the limits."""
     names = [F.col("left").alias("left_share"), F.col("gone").alias("gone_lines")][: 1 + gone]
-    left = depletion(docs, min_docs, share, host).select(F.col("doc.id").alias("__id"), *names)
-    base = base_metrics(docs)
-    out = (base if texts else base.drop("text")).join(left, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    slim = docs.select("doc_id", "text", F.col(host).alias("host"))
+    left = depletion(slim, min_docs, share, "host").select(F.col("doc.id").alias("id"), *names)
+    rows = as_rows(docs).select("row", F.col("row.text").alias("text")) if texts else docs.select(F.struct("doc_id").alias("row"), "text")
+    base = base_metrics(rows).drop("text")
+    out = base.join(left, F.col("row.doc_id").eqNullSafe(F.col("id")), "left").drop("id")
     out = out.withColumn("left_share", F.coalesce(F.col("left_share"), F.lit(1.0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("left_share") >= min_left))
 
 
 def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, host: str = "source") -> DataFrame:
     """doc_id, the base metrics, left_share and kept of each row, without the texts."""
-    slim = docs.select("doc_id", "text", F.col(host).alias("host"))
-    out = judged(slim, min_docs, share, min_left, "host", texts=False)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept")
+    out = judged(docs, min_docs, share, min_left, host, texts=False)
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept")
 
 
 def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """docs without the rejected rows; other columns pass through."""
-    out = judged(docs, **limits)
-    return out.where("kept").select(*docs.columns)
+    return unpacked(judged(docs, **limits).where("kept"), docs.columns)
 
 
 def edited_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """docs without the rejected rows, and their texts without the lines above the limits; other columns pass through."""
     out = judged(docs, gone=True, **limits).where("kept")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone_lines", line_hash(x)))
-    edited = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return out.withColumn("text", edited).select(*docs.columns)
+    lines = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone_lines", line_hash(x)))
+    edited = F.when(F.col("gone_lines").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
+    return unpacked(out, docs.columns, text=edited)
 
 
 def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat_format, components, decontamination, html_text, kneser_ney, line_dedup, mixing_lm, packing, quality_rules, sharding, simhash
+from siltstone.llm import chat_format, components, decontamination, html_text, kneser_ney, line_dedup, mixing_lm, near_copies, packing, quality_rules, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, n_lines long"
 
@@ -463,6 +463,55 @@ def test_classifier_keeps_clean_text(spark, odd, none):
     assert kneser_ney.classified(none, labels).count() == 0
 
 
+def test_limits_by_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, words(r.randrange(5, 60), i, 40), ["en", "de", None][i % 3]) for i in range(300)]
+    df = spark.createDataFrame([(i, t, lang, "clash", 1) for i, t, lang in rows], "doc_id long, text string, lang string, name string, own int")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.classified(df, labels, per_language=20, quantile=0.5, slack=1.0).collect()
+    sample = {x.doc_id for x in kneser_ney.trusted_rows(df, labels, 20).collect()}
+    trusted = {i for i in range(0, 300, 2) if i % 10}
+    assert len(sample) == 60 and sample < trusted
+    for lang in ("en", "de", None):
+        own = sorted(x.perplexity for x in got if x.lang == lang and x.doc_id in trusted - sample)
+        want = own[math.ceil(0.5 * len(own)) - 1]
+        for x in got:
+            if x.lang == lang:
+                assert x.max_perplexity == pytest.approx(want) and x.kept == (x.perplexity <= x.max_perplexity)
+
+
+def test_further_languages_share_a_model(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "LANGUAGES", 1)
+    df = spark.createDataFrame([(i, words(30, i, 20), "en" if i < 60 else f"l{i % 7}") for i in range(100)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    assert {r.lang for r in kneser_ney.trusted_rows(df, labels).select("lang").distinct().collect()} == {"en", kneser_ney.OTHER}
+    got = kneser_ney.classified(df, labels).collect()
+    assert len(got) == 100 and all(r.perplexity < 1000 for r in got)
+
+
+# Clashing names -----------------------------------------------------------------
+
+
+HELPERS = ["n_words", "left_share", "base_failed", "kept", "__words", "__w", "__h", "n_removed", "n_lines", "bad", "row", "key", "__key", "__n", "id", "fp", "h", "host", "doc", "site", "n", "k", "x", "t", "component", "node", "root", "item", "shard", "slot", "__id"]
+
+
+def test_other_columns_pass_whatever_their_names(spark):
+    import corpus_pipeline
+
+    rows = [(i, words(60, i, 10**5) + "\nsame line for all of them", "en", f"s{i}", 7) + tuple(f"{c}-{i}" for c in HELPERS) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in HELPERS))
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    for got, n in ((quality_rules.edited_documents(df), 30), (quality_rules.kept_documents(df), 30), (line_dedup.dedup_lines(df), 30), (simhash.deduplicated(df), 30), (near_copies.deduplicated(df), 30), (decontamination.decontaminated(df, items), 29)):
+        found = got.collect()
+        assert got.columns == df.columns and len(found) == n
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in found for c in HELPERS)
+    for f in (quality_rules.verdicts, simhash.near_duplicates, sharding.shard_documents, mixing_lm.scored, packing.packed):
+        assert f(df).count() >= 30
+    assert sharding.assign(df, sharding.topology(40)).count() == 30
+    assert decontamination.contained(df, items).count() == 1
+    assert len(corpus_pipeline.STAGES) == 5
+
+
 # 10 --------------------------------------------------------------------------
 
 
