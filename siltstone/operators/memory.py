@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,12 @@ def forgotten(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, receipt
 
 
-def derived_from(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(node, depth) of all that derives from the seeds, at its least depth. edges: (parent, child). Rounds end when nothing new is found; each is written to the shared folder."""
+def derived_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth) of all that derives from the seeds, at its least depth. edges: (parent, child). Rounds go on until nothing new is found, however deep, and end on cycles too; each is written to the shared folder."""
     edges = edges.select("parent", "child").distinct()
     front = seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0))
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         new = front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if new.isEmpty():
             break

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.session import checkpointing
+
 K1, B = 1.2, 0.75
+#: Passages that `holding` compares with every document.
+SHORT = 100
 
 
 def tokens(text: Column) -> Column:
@@ -17,7 +21,8 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: Co
     """(key, term, tf, len): partial counts are made before the one shuffle."""
     bag = terms if terms is not None else tokens(F.col(text))
     own = docs.select(F.col(key), bag.alias("bag")).withColumn("len", F.size("bag").cast("long"))
-    return own.select(key, "len", F.explode("bag").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    exploded = own.select(key, "len", F.explode_outer("bag").alias("term")).where(F.col("term").isNotNull())
+    return exploded.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -30,12 +35,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
 
     Only postings of query terms are made: the terms of all queries, a small
     table of their own, meet the exploded words before any count is shuffled.
+    The postings are written once, since counts and scores both read them.
     """
+    checkpointing(docs.sparkSession)
     q = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     vocabulary = q.select("term").distinct()
     own = docs.select(key, tokens(F.col("text")).alias("bag")).withColumn("len", F.size("bag"))
-    hits = own.select(key, "len", F.explode("bag").alias("term")).join(vocabulary, "term")
-    posts = hits.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+    # explode would make Spark compute the bag again for a filter on its size
+    hits = own.select(key, "len", F.explode_outer("bag").alias("term")).join(vocabulary, "term")
+    posts = hits.groupBy("term", key, "len").agg(F.count("*").alias("tf")).checkpoint()
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs).first()  # two numbers
     n, avgdl = F.lit(stats.n), F.lit(stats.avgdl)
@@ -47,6 +55,30 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, inner: int = 4) -> DataFrame:
+    """(passage, key) of the documents (key, text) that hold a passage (passage, text) as it stands.
+
+    A passage's tokens after the first and before the last stand whole in any
+    document that holds it; a run of `inner` of them is the key to meet by, and
+    `contains` decides. Passages with fewer tokens meet every document, so
+    there may be SHORT of these at most.
+    """
+    from .operations import small
+
+    bag = tokens(F.col("text"))
+    items = passages.select(passage, F.col("text").alias("_passage"), bag.alias("_bag"))
+    long = items.where(F.size("_bag") >= inner + 2).select(passage, "_passage", F.xxhash64(F.slice("_bag", 2, inner)).alias("_h"))
+    brief = items.where(F.size("_bag") < inner + 2).select(passage, "_passage")
+    own = docs.select(key, "text", bag.alias("_bag"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_bag") - (inner - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_bag", i, inner)))
+    met = own.withColumn("_runs", F.array_distinct(runs)).select(key, F.explode_outer("_runs").alias("_h")).join(small(long.select("_h").distinct()), "_h")
+    pairs = met.join(small(long), "_h").select(key, passage, "_passage").distinct()
+    out = pairs.join(docs.select(key, "text"), key).where(F.contains("text", "_passage")).select(passage, key)
+    if brief.limit(SHORT + 1).count() > SHORT:
+        raise ValueError(f"more than {SHORT} passages of under {inner + 2} tokens")
+    return out.unionByName(docs.select(key, "text").join(F.broadcast(brief), F.contains("text", "_passage")).select(passage, key))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, similarity, k: int = 5, digits: int = 4) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k most similar vectors; a query set is matched in one pass, a partial top-k per task group first."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))

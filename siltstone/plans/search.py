@@ -72,8 +72,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
-    return docs.join(F.broadcast(table(spark, d, "benchmark")), F.contains("t", F.col("text"))).select("item_id", "doc_id")
+    return R.holding(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +108,8 @@ def stale_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def hit_snippets(spark: SparkSession, d: str) -> DataFrame:
     top = bm25_topk(spark, d).where(F.col("rank") == 1).select("item_id", "doc_id")
-    texts = table(spark, d, "documents").select("doc_id", F.substring(T.redacted(F.col("text")), 1, 80).alias("snippet"))
-    return top.join(texts, "doc_id")
+    hit = top.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")  # only texts of hits are redacted
+    return hit.select("item_id", "doc_id", F.substring(T.redacted(F.col("text")), 1, 80).alias("snippet"))
 
 
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
