@@ -1 +1,3 @@
 """siltstone.functions"""
+
+from .register import register_all  # noqa: F401

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.session import checkpointing
+
 
 def rate(part: Column, whole: Column) -> Column:
     """part / whole rounded to 6 places; 0 for an empty whole."""
@@ -22,10 +24,11 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
 
     The words are a column of their own: inside a lambda an expression would be computed for every element.
     """
-    df = df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
     n = F.size("_words")
-    grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, k), " ")))
-    short = F.when(n > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("_words", i, k)))
+    short = F.when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn(out, F.array_distinct(F.when(n >= k, grams).otherwise(short))).drop("_words")
 
 
@@ -34,10 +37,12 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> Da
 
     Prefix filter: of sets in a fixed order of hashes, two with such an overlap
     share one of their first n - ceil(least * n) + 1; only pairs that meet
-    there, within the days, are compared.
+    there, within the days, are compared. The sets are written once, since keys
+    and comparisons read them.
     """
+    checkpointing(items.sparkSession)
     # set sizes are filtered after an explode_outer, which keeps the filter from being pushed into the making of the sets
-    sized = items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0)
+    sized = items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0).checkpoint()
     prefix = sized.withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
     keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
     other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import register_all
 from siltstone.functions import text as T
 from siltstone.operators import operations as O
 from siltstone.operators import reconcile as R
@@ -271,6 +272,15 @@ def address_guard(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.fetch_allowed(at).alias("allowed"))
 
 
+def registered_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL functions of the session over the parts."""
+    register_all(spark)
+    return table(spark, d, "part").selectExpr(
+        "p_partkey", "st_clamp(p_size / 10, 1, 4) AS clamped", "st_basename(concat('a/b/', p_name)) AS base", r"st_unix_path(concat('a\\', p_name)) AS unix", "st_private_mode(cast(p_size AS INT) * 64) AS private",
+        "st_rrf_k(p_partkey) AS k", "st_iso_seconds(TIMESTAMP '2024-01-02 03:04:05.678') AS at", "st_asset_status(p_name, if(p_partkey % 2 = 0, p_name, null)) AS status", "st_host_of(concat('https://u@H', p_partkey, '.org:80/x')) AS host",
+    )
+
+
 URLS = ["https://example.org/a", "http://example.org/a", "https://127.0.0.1/", "https://10.1.2.3/x", "https://172.16.0.1/", "https://172.32.0.1/", "https://192.168.1.1/", "https://169.254.169.254/", "https://localhost/", "https://a.internal/", "https://[::1]/", "ftp://example.org", "https://8.8.8.8/"]
 
 QUERIES = {
@@ -278,7 +288,7 @@ QUERIES = {
     for f in (
         provenance_digests, unwired_commands, asset_outer_status, managed_entries, caller_counts, batch_join, wiki_consistency, trust_tiers, checks_ok, doctor_report, finding_counts, archive_root, recent_actions, storage_totals,
         health_rollup, search_report, delete_order, sorted_keys, lease_order, hot_cache, needles_missing, path_filters, broad_denies, config_checks, handler_checks, ci_gate, tool_visibility, transcript_usage, routed_queries, expanded_queries,
-        reranked_topk, forgotten_notes, index_ratchet, cited_search, tool_search, scalar_rules, iso_times, name_counts, dead_archive, address_guard,
+        reranked_topk, forgotten_notes, index_ratchet, cited_search, tool_search, scalar_rules, iso_times, name_counts, dead_archive, address_guard, registered_functions,
     )
 }
 
@@ -370,5 +380,8 @@ SELECT p_partkey, p_size / 100 AS share, p_partkey % 2 = 0 AS private, p_size %
     "iso_times": """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events""",
     "name_counts": """SELECT p_name FROM part GROUP BY p_name HAVING bool_or(p_partkey % 9 = 0)""",
     "dead_archive": """SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < '1997-01-01'::TIMESTAMP - INTERVAL 30 DAY""",
+    "registered_functions": """
+SELECT p_partkey, greatest(1, least(4, p_size / 10))::DOUBLE AS clamped, p_name AS base, 'a/' || p_name AS unix, true AS private, greatest(30, least(120, round(60 * log2(greatest(p_partkey, 1)) / log2(1024))))::INT AS k,
+  '2024-01-02T03:04:05Z' AS at, CASE WHEN p_partkey % 2 = 0 THEN 'unchanged' ELSE 'would-create' END AS status, 'h' || p_partkey || '.org' AS host FROM part""",
     "address_guard": f"""SELECT p_partkey, p_partkey % {len(URLS)} IN (0, 5, 12) AS allowed FROM part""",
 }

@@ -44,6 +44,14 @@ def json_object(spark: SparkSession, path: str) -> DataFrame:
     return whole.where(F.assert_true(is_object, F.lit(f"{path} must hold a JSON object")).isNull())
 
 
+def installed_paths(spark: SparkSession, path: str, field: str = "files") -> DataFrame:
+    """(path) of a manifest's list of installed paths. A missing or corrupt manifest, or another type in the field, gives no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string")
+    whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), f"$['{field}']", "array<string>").alias("p"))
+    return whole.select(F.explode("p").alias("path")).where(F.col("path").isNotNull()).distinct()
+
+
 def json_fragment(c):
     """The variant between the first { and the last } of a noisy text; null where that is no JSON."""
     return F.try_parse_json(F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("")))
