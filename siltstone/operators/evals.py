@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.session import checkpointing
+from siltstone.session import checkpointing, spread
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -32,18 +32,40 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
     return df.withColumn(out, F.array_distinct(F.when(n >= k, grams).otherwise(short))).drop("_words")
 
 
+#: Sets that hold a shingle beyond which it comes late in the order of the prefix filter.
+COMMON = 16
+
+
+def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text): each different text once, under its least key. Only digests are shuffled."""
+    named = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("_d", F.sha2("text", 256))
+    first = named.groupBy("_d").agg(F.min("id").alias("id"))
+    w = Window.partitionBy("_d").orderBy(F.monotonically_increasing_id())
+    return named.join(first, ["_d", "id"], "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).select("id", "text")
+
+
+def rare_first(sized: DataFrame) -> DataFrame:
+    """sized (id, h, ..) with h in one order for all rows: shingles of at most COMMON sets by hash, then the others by rising count."""
+    each = sized.select("id", F.explode_outer("h").alias("g"))
+    common = each.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+    late = each.join(common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("late"))
+    g = F.col("late.g")
+    return sized.join(late, "id", "left").withColumn("h", F.when(g.isNull(), F.col("h")).otherwise(F.concat(F.array_except("h", g), g))).drop("late")
+
+
 def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> DataFrame:
     """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h).
 
-    Prefix filter: of sets in a fixed order of hashes, two with such an overlap
-    share one of their first n - ceil(least * n) + 1; only pairs that meet
-    there, within the days, are compared. The sets are written once, since keys
-    and comparisons read them.
+    Prefix filter: of sets in one order, two with such an overlap share one of
+    their first n - ceil(least * n) + 1; only pairs that meet there, within the
+    days, are compared. The order puts common shingles last, so that boilerplate
+    is not what sets meet by. The sets are written once, since keys and
+    comparisons read them.
     """
     checkpointing(items.sparkSession)
     # set sizes are filtered after an explode_outer, which keeps the filter from being pushed into the making of the sets
     sized = items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0).checkpoint()
-    prefix = sized.withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
+    prefix = rare_first(sized).withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
     keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
     other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")
     close = F.lit(True) if days is None else F.abs(F.col("day") - F.col("day2")) <= days

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.session import checkpointing
+from siltstone.session import checkpointing, spread
 
 K1, B = 1.2, 0.75
 #: Passages that `holding` compares with every document.
@@ -20,14 +20,14 @@ def tokens(text: Column) -> Column:
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: Column | None = None) -> DataFrame:
     """(key, term, tf, len): partial counts are made before the one shuffle."""
     bag = terms if terms is not None else tokens(F.col(text))
-    own = docs.select(F.col(key), bag.alias("bag")).withColumn("len", F.size("bag").cast("long"))
+    own = spread(docs).select(F.col(key), bag.alias("bag")).withColumn("len", F.size("bag").cast("long"))
     exploded = own.select(key, "len", F.explode_outer("bag").alias("term")).where(F.col("term").isNotNull())
     return exploded.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n, avgdl."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    return spread(docs.select(text)).agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", query: str = "item_id", digits: int = 6) -> DataFrame:
@@ -40,7 +40,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     checkpointing(docs.sparkSession)
     q = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     vocabulary = q.select("term").distinct()
-    own = docs.select(key, tokens(F.col("text")).alias("bag")).withColumn("len", F.size("bag"))
+    own = spread(docs).select(key, tokens(F.col("text")).alias("bag")).withColumn("len", F.size("bag"))
     # explode would make Spark compute the bag again for a filter on its size
     hits = own.select(key, "len", F.explode_outer("bag").alias("term")).join(vocabulary, "term")
     posts = hits.groupBy("term", key, "len").agg(F.count("*").alias("tf")).checkpoint()
@@ -69,7 +69,7 @@ def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, inner:
     items = passages.select(passage, F.col("text").alias("_passage"), bag.alias("_bag"))
     long = items.where(F.size("_bag") >= inner + 2).select(passage, "_passage", F.xxhash64(F.slice("_bag", 2, inner)).alias("_h"))
     brief = items.where(F.size("_bag") < inner + 2).select(passage, "_passage")
-    own = docs.select(key, "text", bag.alias("_bag"))
+    own = spread(docs).select(key, "text", bag.alias("_bag"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_bag") - (inner - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_bag", i, inner)))
     met = own.withColumn("_runs", F.array_distinct(runs)).select(key, F.explode_outer("_runs").alias("_h")).join(small(long.select("_h").distinct()), "_h")
     pairs = met.join(small(long), "_h").select(key, passage, "_passage").distinct()

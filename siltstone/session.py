@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "siltstone", **conf: str) -> SparkSession:
@@ -25,3 +25,20 @@ def checkpointing(spark: SparkSession) -> None:
     if not named and not conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
+
+
+#: Bytes of a plan's input under which a shuffle costs more than idle cores.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, where its files have fewer row groups than there are cores.
+
+    For input whose rows are costly to work on. Tables of many files have more
+    parts than cores and stay as they are; so do small ones.
+    """
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or "Exchange" in plan.executedPlan().toString():
+        return df  # the parts of a plan with an exchange are only known once it runs
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
