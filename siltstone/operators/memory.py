@@ -67,3 +67,24 @@ def greedy_budget(rows: DataFrame, order: list[Column], size: Column, budget: in
 
 def union_of(ledgers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ledgers)
+
+
+def compacted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, tombstone, tombstone_id): the ledger rewritten without the ids, and a tombstone for each of these that it held.
+
+    The tombstone's id comes from all ids of the request, so that two different requests have different ones.
+    """
+    gone = rows.select("id").join(ids.select("id").distinct(), "id", "left_semi").distinct()
+    drawn = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
+    parts = F.concat_ws(":", F.count("*").cast("string"), F.min("id").cast("string"), F.max("id").cast("string"), F.bit_xor(drawn).cast("string"))
+    request = gone.agg(F.concat(F.lit("tomb-"), F.substring(F.sha2(parts, 256), 1, 16)).alias("tombstone_id"))
+    kept = rows.select("id").join(gone, "id", "left_anti").select("id", F.lit(False).alias("tombstone"), F.lit(None).cast("string").alias("tombstone_id"))
+    return kept.unionByName(gone.join(F.broadcast(request)).select("id", F.lit(True).alias("tombstone"), "tombstone_id"))  # the request is one row
+
+
+def prior_session(rows: DataFrame, owner: str, session: str, ts: str, days: int = 14) -> DataFrame:
+    """The rows of each owner's session before the current one, where it ended at most `days` before the current one's end."""
+    ends = rows.groupBy(owner, session).agg(F.max(ts).alias("_end"))
+    w = Window.partitionBy(owner).orderBy(F.desc("_end"), F.desc(session))
+    prior = ends.withColumn("_r", F.row_number().over(w)).withColumn("_now", F.first("_end").over(w)).where((F.col("_r") == 2) & (F.col("_end") >= F.col("_now") - F.make_dt_interval(F.lit(days))))
+    return rows.join(prior.select(owner, session), [owner, session], "left_semi")

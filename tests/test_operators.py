@@ -170,3 +170,39 @@ def test_numbers_and_first_replacement(spark):
     with pytest.raises(Exception, match="not a number in range"):
         spark.createDataFrame([("2",)], "s string").select(T.number_in_range(F.col("s"))).collect()
     assert spark.createDataFrame([("a-b-b",)], "s string").select(T.first_replaced(F.col("s"), "b", "c")).first()[0] == "a-c-b"
+
+
+#: A command for each pattern of the policy, in the lists' order; it must be that pattern that decides.
+EACH = {
+    "deny": [
+        "rm -rf ~", "git reset --hard HEAD", "git clean -fd", "dropdb x", "DROP DATABASE x", "prisma migrate reset", "sequelize db:drop", "kubectl delete pod x", "terraform destroy",
+        "pulumi destroy", "git branch -D main", "git push --force", "git push origin --delete trunk", "git push origin :prod", "git filter-branch x", "git filter-repo x", "git update-ref -d x", "git reflog expire x",
+    ],
+    "ask": ["git rebase x", "gh repo create x", "gh workflow run x", "pnpm add x", "uv add x"],
+}
+
+
+def test_each_pattern_of_the_policy(spark):
+    lists = {"deny": policy.DENY, "ask": policy.ASK}
+    rows = [(c, d, p) for d, commands in EACH.items() for c, p in zip(commands, lists[d], strict=True)]
+    got = spark.createDataFrame(rows, "c string, d string, p string").select("c", "d", "p", policy.command_decision(F.col("c")).alias("x")).collect()
+    assert [(r.c, r.x.decision, r.x.pattern) for r in got] == rows
+
+
+def test_different_requests_have_different_tombstones(spark):
+    rows = spark.createDataFrame([(i,) for i in (1, 2, 3, 3)], "id long")
+
+    def tombs(*ids):
+        got = memory.compacted(rows, spark.createDataFrame([(i,) for i in ids], "id long")).collect()
+        assert sorted(r.id for r in got if r.tombstone) == sorted(set(ids) & {1, 2, 3})
+        assert sorted(r.id for r in got if not r.tombstone) == sorted(i for i in (1, 2, 3, 3) if i not in ids)
+        return {r.tombstone_id for r in got if r.tombstone}
+
+    a, b = tombs(1, 3), tombs(2, 3, 9)
+    assert len(a) == len(b) == 1 and a != b and tombs(9) == set()
+
+
+def test_prior_session_is_recent(spark):
+    rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-10"), (1, "c", "2024-01-12"), (2, "a", "2024-01-01"), (2, "b", "2024-02-01"), (3, "a", "2024-01-01")]
+    df = spark.createDataFrame(rows, "u long, s string, t string").withColumn("t", F.to_timestamp("t"))
+    assert [(r.u, r.s) for r in memory.prior_session(df, "u", "s", "t").collect()] == [(1, "b")]
