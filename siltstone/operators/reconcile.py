@@ -89,3 +89,9 @@ def nearest_ancestor(paths: DataFrame, markers: DataFrame) -> DataFrame:
     above = above.withColumn("folder", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/"))
     found = above.join(markers.select("folder"), "folder").groupBy("path").agg(F.max_by("folder", "depth").alias("root"))
     return paths.join(found, "path", "left")
+
+
+def user_scalars(user: DataFrame, kit: DataFrame, key: str = "name", value: str = "value") -> DataFrame:
+    """(key, value): single settings, of which the user's own win over the kit's."""
+    both = kit.select(key, F.col(value).alias("_kit")).join(user.select(key, F.col(value).alias("_own")), key, "full_outer")
+    return both.select(key, F.coalesce("_own", "_kit").alias(value))

@@ -90,6 +90,14 @@ def dense(vectors: DataFrame, queries: DataFrame, similarity, k: int = 5, digits
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def dense_or_lexical(vectors: DataFrame | None, query_vectors: DataFrame, docs: DataFrame, queries: DataFrame, similarity, k: int = 10, key: str = "vec_id", query: str = "query_id") -> DataFrame:
+    """(query, key, score, rank, arm): dense hits, or BM25's where there are no vectors. docs: (key, text), queries: (query, text)."""
+    if vectors is not None and not vectors.isEmpty():
+        found = dense(vectors, query_vectors, similarity, k).select(F.col("query_id").alias(query), F.col("vec_id").alias(key), "score", "rank")
+        return found.withColumn("arm", F.lit("dense"))
+    return bm25(docs, queries, k, key, query).select(query, key, "score", "rank").withColumn("arm", F.lit("lexical"))
+
+
 def fused(arms: list[DataFrame], constant: Column, query: str, key: str) -> DataFrame:
     """Reciprocal-rank fusion of (query, key, rank) lists."""
     rows = arms[0].select(query, key, "rank")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import stem
 from siltstone.functions import text as T
-from siltstone.operators import memory, policy, reconcile, scoring
+from siltstone.operators import memory, policy, reconcile, retrieval, scoring
+from siltstone.session import spread
 from siltstone.sources import readers, sinks
 from siltstone.streaming import queue
 
@@ -206,3 +207,33 @@ def test_prior_session_is_recent(spark):
     rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-10"), (1, "c", "2024-01-12"), (2, "a", "2024-01-01"), (2, "b", "2024-02-01"), (3, "a", "2024-01-01")]
     df = spark.createDataFrame(rows, "u long, s string, t string").withColumn("t", F.to_timestamp("t"))
     assert [(r.u, r.s) for r in memory.prior_session(df, "u", "s", "t").collect()] == [(1, "b")]
+
+
+def test_dense_falls_back_to_words(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue fish"), (3, "red red")], "vec_id long, text string")
+    queries = spark.createDataFrame([(1, "blue")], "query_id long, text string")
+    asked = vectors.where("vec_id = 1")
+
+    def best(v):
+        return [(r.query_id, r.vec_id, r.arm) for r in retrieval.dense_or_lexical(v, asked, docs, queries, T.cosine, 1).collect()]
+
+    assert best(vectors) == [(1, 2, "dense")]
+    assert best(None) == best(vectors.limit(0)) == [(1, 2, "lexical")]
+
+
+def test_user_scalars_win(spark):
+    user = spark.createDataFrame([("a", "mine"), ("c", "own")], "name string, value string")
+    kit = spark.createDataFrame([("a", "theirs"), ("b", "kit")], "name string, value string")
+    assert {tuple(r) for r in reconcile.user_scalars(user, kit).collect()} == {("a", "mine"), ("b", "kit"), ("c", "own")}
+
+
+def test_spread_leaves_small_and_shuffled_plans(spark, tmp_path):
+    small = spark.range(10)
+    assert spread(small) is small
+    path = str(tmp_path / "t")
+    spark.range(300_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    grouped = one.groupBy("text").count()
+    assert spread(grouped) is grouped
