@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.session import checkpointing, spread
+from siltstone.session import stored, spread
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -62,9 +62,8 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> Da
     is not what sets meet by. The sets are written once, since keys and
     comparisons read them.
     """
-    checkpointing(items.sparkSession)
     # set sizes are filtered after an explode_outer, which keeps the filter from being pushed into the making of the sets
-    sized = items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0).checkpoint()
+    sized = stored(items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0))
     prefix = rare_first(sized).withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
     keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
     other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")

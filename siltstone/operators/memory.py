@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
+from siltstone.session import stored
+from siltstone.sources.versions import Version, Versions
+
+from .index import Index
 
 
 def live(records: DataFrame, now: Column, include_expired: bool = False) -> DataFrame:
@@ -39,12 +43,41 @@ def recall_score(confidence: Column, relevance: Column, age_days: Column, half_l
     return confidence * relevance * F.pow(F.lit(0.5), age_days / half_life)
 
 
+def request_id() -> Column:
+    """The tombstone id of a request, an aggregate over all of its ids, so that two different requests have different ones."""
+    drawn = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
+    parts = F.concat_ws(":", F.count("*").cast("string"), F.min("id").cast("string"), F.max("id").cast("string"), F.bit_xor(drawn).cast("string"))
+    return F.concat(F.lit("tomb-"), F.substring(F.sha2(parts, 256), 1, 16))
+
+
 def forgotten(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows without the ids, and the receipt: one row."""
     kept = rows.join(ids.select("id"), "id", "left_anti")
     hit = rows.join(ids.select("id"), "id", "left_semi")
-    receipt = hit.agg(F.count("*").alias("removed_rows"), F.concat(F.lit("tomb-"), F.substring(F.sha2(F.coalesce(F.max(F.col("id").cast("string")), F.lit("")), 256), 1, 16)).alias("tombstone_id")).withColumn("union_merge_restorable", F.lit(True))
-    return kept, receipt
+    request = hit.select("id").distinct().agg(request_id().alias("tombstone_id"))
+    receipt = hit.agg(F.count("*").alias("removed_rows")).crossJoin(request)  # two single rows
+    return kept, receipt.withColumn("union_merge_restorable", F.lit(True))
+
+
+def forget(store: Versions, table: str, schema: str, ids: DataFrame) -> tuple[Version, DataFrame]:
+    """A version of a ledger (id, ..) without the ids, and their tombstones (id, tombstone_id).
+
+    Only parts that hold such rows are written anew; the tombstones go to the
+    part `tombstones` of a table beside it. Readers of the version before still
+    see it until the store is vacuumed, so a request ends with that.
+    """
+    base = store.version()
+    rows = store.read(table, base, f"{schema}, part string")
+    hit = stored(rows.join(ids.select("id").distinct(), "id", "left_semi").select("id", "part"))
+    touched = sorted(r.part for r in hit.select("part").distinct().collect())  # parts of the ledger
+    gone = hit.select("id").distinct()
+    request = gone.agg(request_id().alias("tombstone_id"))
+    tombstones = gone.crossJoin(request).withColumn("part", F.lit(request.first()[0]))
+    if not touched:
+        return base, tombstones.drop("part")
+    folder = store.stage(**{table: rows.where(F.col("part").isin(touched)).join(gone, "id", "left_anti").select(*rows.columns), "tombstones": tombstones})
+    new = store.commit(base, folder, [table, "tombstones"], [*touched, *store.staged(folder, "tombstones")])
+    return new, tombstones.drop("part")
 
 
 def derived_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -53,18 +86,14 @@ def derived_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     front = seeds.select(F.col("node")).distinct().withColumn("depth", F.lit(0))
     seen = front
     for depth in count(1):
-        new = front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        new = stored(new)
         if new.isEmpty():
             break
         seen, front = seen.unionByName(new), new
     return seen
 
 
-def greedy_budget(rows: DataFrame, order: list[Column], size: Column, budget: int) -> DataFrame:
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
-
-
 def union_of(ledgers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ledgers)
 
@@ -75,9 +104,7 @@ def compacted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     The tombstone's id comes from all ids of the request, so that two different requests have different ones.
     """
     gone = rows.select("id").join(ids.select("id").distinct(), "id", "left_semi").distinct()
-    drawn = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
-    parts = F.concat_ws(":", F.count("*").cast("string"), F.min("id").cast("string"), F.max("id").cast("string"), F.bit_xor(drawn).cast("string"))
-    request = gone.agg(F.concat(F.lit("tomb-"), F.substring(F.sha2(parts, 256), 1, 16)).alias("tombstone_id"))
+    request = gone.agg(request_id().alias("tombstone_id"))
     kept = rows.select("id").join(gone, "id", "left_anti").select("id", F.lit(False).alias("tombstone"), F.lit(None).cast("string").alias("tombstone_id"))
     return kept.unionByName(gone.join(F.broadcast(request)).select("id", F.lit(True).alias("tombstone"), "tombstone_id"))  # the request is one row
 
@@ -88,3 +115,35 @@ def prior_session(rows: DataFrame, owner: str, session: str, ts: str, days: int
     w = Window.partitionBy(owner).orderBy(F.desc("_end"), F.desc(session))
     prior = ends.withColumn("_r", F.row_number().over(w)).withColumn("_now", F.first("_end").over(w)).where((F.col("_r") == 2) & (F.col("_end") >= F.col("_now") - F.make_dt_interval(F.lit(days))))
     return rows.join(prior.select(owner, session), [owner, session], "left_semi")
+
+
+#: Levels that priors are sorted into.
+LEVELS = 256
+
+
+def recalled(index: Index, priors: DataFrame, queries: DataFrame, k: int = 5, first: int = 20, query: str = "item_id") -> DataFrame:
+    """(query, doc, recall, rank): the k documents of highest prior * s / (s + 1), s their BM25 score. priors: (doc, prior), each doc once, within 0 and 1.
+
+    Two sorted lists are read as far as needed. The first documents by BM25 give
+    k products, the least of which must be reached, and a score that no other
+    document exceeds; so any other must have a prior of more than their
+    quotient. Priors are looked up by level, and what is found there gets its
+    score from the blocks of its group. The result is exact; documents without a
+    word of the query are in none.
+    """
+    near = stored(index.search(queries, first, query, "doc"))
+    share = F.col("score") / (F.col("score") + 1)
+    known = near.join(priors, "doc").select(query, "doc", (F.col("prior") * share).alias("product"))
+    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("product"))))
+    reached = ranked.where(F.col("_r") == k).select(query, F.col("product").alias("least"))
+    ends = near.where(F.col("rank") == first).select(query, share.alias("beyond"))  # without one, all with a word of it are known
+    asked = ends.join(reached, query, "left").withColumn("bound", (F.coalesce("least", F.lit(0.0)) / F.col("beyond")) * (1 - 1e-6))
+    level = F.least(F.floor(F.col("prior") * LEVELS), F.lit(LEVELS - 1)).cast("int")
+    from_ = F.least(F.floor(F.col("bound") * LEVELS), F.lit(LEVELS)).cast("int")
+    asked = asked.where(from_ < LEVELS).select(query, "bound", F.explode(F.sequence(from_, F.lit(LEVELS - 1))).alias("_level"))
+    high = asked.join(priors.withColumn("_level", level), "_level").where(F.col("prior") >= F.col("bound")).select(query, "doc")
+    other = index.scored(high.join(near.select(query, "doc"), [query, "doc"], "left_anti"), queries, query)
+    both = known.unionByName(other.join(priors, "doc").select(query, "doc", (F.col("prior") * share).alias("product")))
+    best = Window.partitionBy(query).orderBy(F.desc("recall"), "doc")
+    out = both.select(query, "doc", F.round("product", 6).alias("recall"))
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

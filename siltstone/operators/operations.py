@@ -134,16 +134,6 @@ def paged(memories: DataFrame, salience: Column, hot: int, group: str, key: str
     return out.withColumn("tier", F.when(F.col("rank") <= hot, "hot").otherwise("cold"))
 
 
-def needles_missing(needles: DataFrame, files: DataFrame, needle: str = "needle", text: str = "text") -> DataFrame:
-    """Needles that no file holds. Each file is searched once, by all needles: a policy list, collected up to its bound."""
-    wanted = [r[0] for r in needles.select(needle).distinct().limit(10_001).collect()]
-    if len(wanted) > 10_000:
-        raise ValueError("more than 10,000 needles")
-    listed = F.array(*[F.lit(x) for x in wanted]) if wanted else F.array().cast("array<string>")
-    found = files.select(F.explode(F.filter(listed, lambda x: F.contains(F.col(text), x))).alias(needle)).distinct()
-    return needles.join(found, needle, "left_anti")
-
-
 def memory_data(path: Column, folder: str = "memory") -> Column:
     """Whether a path is memory data: all in the folder but .gitkeep."""
     return path.rlike(rf"(^|/){folder}/") & ~path.rlike(r"(^|/)\.gitkeep$")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.session import stored
+
 
 def manifest_status(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """(path, status): ok, missing, sha_mismatch, size_mismatch. Both sides: (path, sha256, size)."""
@@ -95,3 +97,33 @@ def user_scalars(user: DataFrame, kit: DataFrame, key: str = "name", value: str
     """(key, value): single settings, of which the user's own win over the kit's."""
     both = kit.select(key, F.col(value).alias("_kit")).join(user.select(key, F.col(value).alias("_own")), key, "full_outer")
     return both.select(key, F.coalesce("_own", "_kit").alias(value))
+
+
+def before_each(rows: DataFrame, order: str, value: Column, out: str, parts: int | None = None) -> DataFrame:
+    """rows with the value of the row before each in one order over all of them; null at the first. Equal orders follow in no fixed order.
+
+    No task reads all rows: ranges of the order are looked at by themselves, and
+    the first row of each takes the value that the last row of the range before
+    it left, from a table of one row for each range.
+    """
+    n = parts or max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = stored(rows.withColumn("_v", F.struct(value.alias("v"))).repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(order)
+    own = dealt.withColumn("_before", F.lag("_v").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    lasts = dealt.groupBy("_part").agg(F.max_by("_v", order).alias("_last"))
+    heads = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_head"))  # a row for each range
+    joined = own.join(F.broadcast(heads), "_part")
+    return joined.withColumn(out, F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_before"))["v"]).drop("_part", "_v", "_before", "_first", "_head")
+
+
+def chained(rows: DataFrame, order: str, content: str, parts: int | None = None) -> DataFrame:
+    """rows as one chain: prev_sha is the hash of the line before, null at the first."""
+    return before_each(rows, order, F.sha2(content, 256), "prev_sha", parts)
+
+
+def whole_chain_status(lines: DataFrame, order: str, content: str, prev: str, parts: int | None = None) -> DataFrame:
+    """As chain_status for one chain of any length: lines with ok. The unchained prefix ends with the first line that has a prev."""
+    start = lines.where(F.col(prev).isNotNull()).agg(F.min(order)).first()[0]  # one value
+    seen = before_each(lines, order, F.sha2(content, 256), "_sha", parts)
+    prefix = F.lit(True) if start is None else F.col(order) < F.lit(start)
+    return seen.withColumn("ok", F.when(F.col(prev).isNull(), prefix).otherwise(F.col("_sha").isNull() | (F.col(prev) == F.col("_sha")))).drop("_sha")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.session import checkpointing, spread
+from siltstone.session import spread, stored
 
 K1, B = 1.2, 0.75
 #: Passages that `holding` compares with every document.
@@ -37,13 +41,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     table of their own, meet the exploded words before any count is shuffled.
     The postings are written once, since counts and scores both read them.
     """
-    checkpointing(docs.sparkSession)
     q = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     vocabulary = q.select("term").distinct()
     own = spread(docs).select(key, tokens(F.col("text")).alias("bag")).withColumn("len", F.size("bag"))
     # explode would make Spark compute the bag again for a filter on its size
     hits = own.select(key, "len", F.explode_outer("bag").alias("term")).join(vocabulary, "term")
-    posts = hits.groupBy("term", key, "len").agg(F.count("*").alias("tf")).checkpoint()
+    posts = stored(hits.groupBy("term", key, "len").agg(F.count("*").alias("tf")))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs).first()  # two numbers
     n, avgdl = F.lit(stats.n), F.lit(stats.avgdl)
@@ -79,21 +82,91 @@ def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, inner:
     return out.unionByName(docs.select(key, "text").join(F.broadcast(brief), F.contains("text", "_passage")).select(passage, key))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, similarity, k: int = 5, digits: int = 4) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k most similar vectors; a query set is matched in one pass, a partial top-k per task group first."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    pairs = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(similarity(F.col("embedding"), F.col("qv")), digits).alias("score"))
-    order = [F.desc("score"), F.asc("vec_id")]
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy(*order)
-    near = scored.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k).drop("_r")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+#: Bytes of query vectors that travel to the executors at once; more queries are matched in several passes.
+QUERY_BYTES = 64 << 20
+#: Decimal places to which similarities tie.
+TIES = 9
+
+
+def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of vectors of full length without nulls, of the length of the first, and the vectors."""
+    sizes = np.asarray(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    dims = sizes[sizes > 0][0] if (sizes > 0).any() else 0
+    at = np.flatnonzero((sizes == dims) & (dims > 0))
+    values = np.asarray(rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(at), -1 if len(at) else max(int(dims), 1))
+    fine = np.isfinite(values).all(axis=1)
+    return at[fine], values[fine]
+
+
+def _unit(values: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(values, axis=1, keepdims=True)
+    return np.divide(values, norms, out=np.full_like(values, np.nan), where=norms > 0)
 
 
-def dense_or_lexical(vectors: DataFrame | None, query_vectors: DataFrame, docs: DataFrame, queries: DataFrame, similarity, k: int = 10, key: str = "vec_id", query: str = "query_id") -> DataFrame:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the lower id; nan is no score."""
+    at = np.flatnonzero(~np.isnan(scores))
+    if len(at) > k:
+        least = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= least]
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+def dense(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", k: int = 5, digits: int = 4) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k vectors most similar to each query's, itself left out; metric: cosine or dot.
+
+    A block of query vectors of bounded size travels to the executors, is
+    multiplied with batches of vectors as matrices, and each task keeps its k
+    best for each query, so k rows for each query and task are shuffled. Ranks
+    follow scores of TIES places, ties going to the lower id; `digits` is for
+    show. Vectors that are null, of another length than the queries', with null
+    or non-finite entries, or of length zero (cosine) have no similarity. Ids
+    are longs, each standing once.
+    """
+    size = queries.select(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    passes = max(1, -(-size.n * max(size.d or 0, 1) * 8 // QUERY_BYTES))
+    found = None
+    for part in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == part).select("vec_id", "embedding").toArrow()
+        column = own.column(1).combine_chunks()
+        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+        at, wanted = _matrix(column)
+        query_ids = np.asarray(own.column(0).to_numpy())[at]
+        near = _matched(vectors, query_ids, _unit(wanted) if metric == "cosine" else wanted, metric, k)
+        found = near if found is None else found.unionByName(near)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", digits))
+
+
+def _matched(vectors: DataFrame, query_ids: np.ndarray, wanted: np.ndarray, metric: str, k: int) -> DataFrame:
+    """The k best of each task for each query."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ids, best = [np.zeros(0, np.int64)] * len(query_ids), [np.zeros(0)] * len(query_ids)
+        for b in it:
+            at, values = _matrix(b.column(1))
+            if not len(at) or not len(query_ids) or values.shape[1] != wanted.shape[1]:
+                continue
+            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False))[at].astype(np.int64)
+            scores = np.round((_unit(values) if metric == "cosine" else values) @ wanted.T, TIES)
+            for q, query_id in enumerate(query_ids):
+                own = np.where(ids == query_id, np.nan, scores[:, q])
+                top = _best(ids, own, k)
+                i, s = np.concatenate([best_ids[q], ids[top]]), np.concatenate([best[q], own[top]])
+                top = _best(i, s, k)
+                best_ids[q], best[q] = i[top], s[top]
+        counts = [len(x) for x in best_ids]
+        if sum(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, counts).astype(np.int64)), pa.array(np.concatenate(best_ids)), pa.array(np.concatenate(best))], names=["query_id", "vec_id", "score"])
+
+    return spread(vectors.select("vec_id", "embedding")).mapInArrow(batches, "query_id long, vec_id long, score double")
+
+
+def dense_or_lexical(vectors: DataFrame | None, query_vectors: DataFrame, docs: DataFrame, queries: DataFrame, metric: str = "cosine", k: int = 10, key: str = "vec_id", query: str = "query_id") -> DataFrame:
     """(query, key, score, rank, arm): dense hits, or BM25's where there are no vectors. docs: (key, text), queries: (query, text)."""
     if vectors is not None and not vectors.isEmpty():
-        found = dense(vectors, query_vectors, similarity, k).select(F.col("query_id").alias(query), F.col("vec_id").alias(key), "score", "rank")
+        found = dense(vectors, query_vectors, metric, k).select(F.col("query_id").alias(query), F.col("vec_id").alias(key), "score", "rank")
         return found.withColumn("arm", F.lit("dense"))
     return bm25(docs, queries, k, key, query).select(query, key, "score", "rank").withColumn("arm", F.lit("lexical"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import text as T
+from siltstone.functions.nested import cleaned_rows
+from siltstone.functions.schema import packaged, violations
 from siltstone.operators import evals as E
 from siltstone.operators import memory as M
 from siltstone.operators import reconcile as C
-from siltstone.session import checkpointing
 from siltstone.sources import readers, sinks
 
 from .search import table
@@ -113,7 +114,6 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def taint_closure(spark: SparkSession, d: str) -> DataFrame:
     """Orders derive from the order of half their number; the tainted are those of prime customers 7 and 11."""
-    checkpointing(spark)
     o = table(spark, d, "orders")
     edges = o.where(F.col("o_orderkey") > 1).select(F.floor(F.col("o_orderkey") / 2).alias("parent"), F.col("o_orderkey").alias("child"))
     return M.derived_from(edges, o.where(F.col("o_custkey").isin(7, 11)).select(F.col("o_orderkey").alias("node")))
@@ -206,6 +206,49 @@ def schema_conformance(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.array_join(E.classification_errors(doc), ",").alias("errors"))
 
 
+def _comment(kind: str) -> Column:
+    """A JSON reply that breaks rules by its number."""
+    n = F.col("event_id")
+    level = F.when(n % 5 == 0, F.lit("severe")).otherwise("low").alias("riskLevel")
+    said = F.when(n % 7 == 0, F.lit("")).otherwise("fine").alias("comment")
+    if kind == "generated_comment":
+        reason = F.when(n % 11 != 0, F.repeat(F.lit("r"), F.when(n % 3 == 0, 241).otherwise(240))).alias("reason")
+        return F.to_json(F.struct(said, level, reason, (n % 2 == 0).alias("shouldPost"), F.when(n % 17 == 0, "angry").alias("tone")))
+    return F.to_json(F.struct(F.lit("p1").alias("postId"), said, level, F.when(n % 2 == 0, F.lit(True)).alias("dryRun"), F.when(n % 3 == 0, 1).alias("zeal"), F.when(n % 4 == 0, 1).alias("care")))
+
+
+def schema_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong, and where, with each event as one of three kinds of JSON, by schemas read as data."""
+    e, n = table(spark, d, "events").select("event_id"), F.col("event_id")
+    topics = F.transform(F.sequence(F.lit(1), (n % 7 + 1).cast("int")), lambda i: F.when((i == 3) & (n % 2 == 0), F.lit("")).otherwise("t"))
+    label = F.to_json(F.struct(F.when(n % 3 == 0, "news").otherwise("gossip").alias("category"), F.when(n % 4 != 0, "en").alias("language"), F.lit(False).alias("isSpam"), topics.alias("topics")))
+    out = None
+    for name, text in (("content_classification", label), ("generated_comment", _comment("generated_comment")), ("post_comment", _comment("post_comment"))):
+        own = e.select("event_id", F.lit(name).alias("kind"), F.array_join(violations(text, packaged(name)), "; ").alias("errors"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def event_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Breaks of one hash chain through all events, some of whose lines have been changed afterwards."""
+    e = table(spark, d, "events").select("event_id", F.concat_ws("|", F.col("event_id"), "event_type", "props").alias("line"))
+    written = C.chained(e, "event_id", "line")
+    changed = written.withColumn("line", F.when(F.col("event_id") % 997 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    return C.whole_chain_status(changed, "event_id", "line", "prev_sha").where(~F.col("ok")).select("event_id")
+
+
+def nested_redaction(spark: SparkSession, d: str) -> DataFrame:
+    """Events as nested rows with secrets and paths at every depth, cleaned."""
+    n, secret = F.col("event_id"), F.concat(F.lit("token="), F.md5(F.col("event_id").cast("string")))
+    place = F.concat(F.lit("see /home/u"), F.col("user_id"), F.lit("/x"))
+    rows = table(spark, d, "events").select(
+        "event_id", F.struct(secret.alias("a"), F.array(place, F.lit("plain"), F.lit(None).cast("string")).alias("b"), F.when(n % 2 == 0, F.create_map(F.lit("token=k"), F.array(F.struct(secret.alias("c"))))).alias("m")).alias("body"),
+        F.parse_json(F.concat(F.lit('{"token=key": ["a \\"q\\" '), secret, F.lit(' z", 1, {"p": "'), place, F.lit('"}]}'))).alias("raw"),
+    )
+    c = cleaned_rows(rows)
+    return c.select("event_id", F.col("body.a").alias("a"), F.array_join("body.b", ",", "null").alias("b"), F.map_values("body.m")[0][0]["c"].alias("c"), F.map_keys("body.m")[0].alias("k"), F.to_json("raw").alias("raw"))
+
+
 def verify_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Whether each passage cited from a document is in it."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), (F.col("item_id") * 5).alias("doc_id"))
@@ -222,7 +265,7 @@ def ancestor_lookup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     manifest_drift, exact_dup_groups, near_dup_pairs, near_dup_pairs_all, parity_compare, orphan_prune_plan, settings_merge, findings_unnest, hash_chain_verify, live_decisions, tag_mining, conflict_pairs, taint_closure,
     todo_fold, session_resume, memory_recall, forget_receipt, usage_by_role, hook_breakdown, queue_age, retention_plan, byte_cap_rotation, cooldown_scan, ratchet_best, section_membership, line_anchors,
-    host_tier, url_guard, wiki_lint_orphans, schema_conformance, verify_quotes, ancestor_lookup,
+    host_tier, url_guard, wiki_lint_orphans, schema_conformance, schema_errors, event_chain, nested_redaction, verify_quotes, ancestor_lookup,
 )}
 
 ORACLE_SQL = {
@@ -261,7 +304,9 @@ SELECT node, min(depth) AS depth FROM c GROUP BY node""",
 QUALIFY rank <= CASE event_type WHEN 'click' THEN 12 WHEN 'view' THEN 10 ELSE 5 END""",
     "memory_recall": LIVE + """SELECT id, round((0.5 + (id % 10) / 20) * (1 / (1 + log10(n_chars + 1))) * pow(0.5, (id % 90) / 30.0), 6) AS score
 FROM live JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 20""",
-    "forget_receipt": "SELECT count(*) AS removed_rows, 'tomb-' || left(sha256(coalesce(max(doc_id::VARCHAR), '')), 16) AS tombstone_id, true AS union_merge_restorable FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "forget_receipt": """
+WITH g AS (SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT (SELECT count(*) FROM g) AS removed_rows, (SELECT 'tomb-' || left(sha256(count(*) || ':' || min(id) || ':' || max(id) || ':' || bit_xor(('0x' || left(md5(id::VARCHAR), 15))::BIGINT)), 16) FROM (SELECT DISTINCT id FROM g)) AS tombstone_id, true AS union_merge_restorable""",
     "usage_by_role": "SELECT role, count(*) AS turns, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM conversations GROUP BY role",
     "hook_breakdown": "SELECT event_type, count(*) AS events, sum(strlen(props))::BIGINT AS bytes, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type",
     "queue_age": "SELECT ['pending', 'processing', 'dead'][event_id % 3 + 1] AS state, count(*) AS jobs, arg_min(event_id, (ts, event_id)) AS oldest_id, (epoch_us('2024-02-01'::TIMESTAMP) - epoch_us(min(ts))) // 1000000 AS oldest_age_s FROM events GROUP BY state",
@@ -279,6 +324,18 @@ SELECT doc_id, count(*) AS lines, count(DISTINCT section) AS sections, count(*)
     "url_guard": "SELECT page_id, lower(url) LIKE 'https://%' AS allowed FROM pages",
     "wiki_lint_orphans": """SELECT page_id FROM pages WHERE '/' || regexp_extract(url, '/([0-9]+)', 1) NOT IN (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages)""",
     "schema_conformance": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 3 <> 0 THEN 'category' END, CASE WHEN event_id % 7 + 1 > 5 THEN 'topics' END, CASE WHEN event_id % 11 = 0 THEN 'additional' END) AS errors FROM events",
+    "schema_errors": """
+WITH c AS (SELECT event_id, 'content_classification' AS kind, list_filter([CASE WHEN event_id % 3 <> 0 THEN '$.category: enum' END, CASE WHEN event_id % 4 = 0 THEN '$.language: required' END,
+             CASE WHEN event_id % 7 + 1 > 5 THEN '$.topics: maxItems' END, CASE WHEN event_id % 2 = 0 AND event_id % 7 + 1 >= 3 THEN '$.topics[2]: minLength' END], lambda x: x IS NOT NULL) AS x FROM events
+  UNION ALL SELECT event_id, 'generated_comment', list_filter([CASE WHEN event_id % 7 = 0 THEN '$.comment: minLength' END, CASE WHEN event_id % 5 = 0 THEN '$.riskLevel: enum' END,
+             CASE WHEN event_id % 11 = 0 THEN '$.reason: required' WHEN event_id % 3 = 0 THEN '$.reason: maxLength' END, CASE WHEN event_id % 17 = 0 THEN '$.tone: enum' END], lambda x: x IS NOT NULL) FROM events
+  UNION ALL SELECT event_id, 'post_comment', list_filter([CASE WHEN event_id % 7 = 0 THEN '$.comment: minLength' END, CASE WHEN event_id % 5 = 0 THEN '$.riskLevel: enum' END,
+             CASE WHEN event_id % 2 <> 0 THEN '$.dryRun: required' END, CASE WHEN event_id % 4 = 0 THEN '$.care: additionalProperties' END, CASE WHEN event_id % 3 = 0 THEN '$.zeal: additionalProperties' END], lambda x: x IS NOT NULL) FROM events)
+SELECT event_id, kind, coalesce(array_to_string(x, '; '), '') AS errors FROM c""",
+    "event_chain": "SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events) WHERE before % 997 = 0",
+    "nested_redaction": """
+SELECT event_id, 'token[REDACTED]' AS a, 'see [PATH],plain,null' AS b, CASE WHEN event_id % 2 = 0 THEN 'token[REDACTED]' END AS c, CASE WHEN event_id % 2 = 0 THEN 'token=k' END AS k,
+       '{"token=key":["a \\"q\\" token[REDACTED] z",1,{"p":"see [PATH]"}]}' AS raw FROM events""",
     "verify_quotes": "SELECT item_id, CASE WHEN d.text IS NULL THEN 'no_source' WHEN contains(d.text, b.text) THEN 'ok' ELSE 'not_in_source' END AS verdict FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 5",
     "ancestor_lookup": "SELECT 'r/' || (p_size % 7) || '/' || (p_size % 5) || '/f' || p_partkey AS path, CASE WHEN p_size % 7 = 1 AND p_size % 5 = 2 THEN 'r/1/2' WHEN p_size % 7 = 1 THEN 'r/1' WHEN p_size % 7 = 3 AND p_size % 5 = 4 THEN 'r/3/4' END AS root FROM part",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import register_all
 from siltstone.functions import text as T
+from siltstone.operators import dictionary as D
 from siltstone.operators import operations as O
 from siltstone.operators import reconcile as R
 from siltstone.operators import research as X
@@ -142,7 +143,28 @@ def hot_cache(spark: SparkSession, d: str) -> DataFrame:
 
 def needles_missing(spark: SparkSession, d: str) -> DataFrame:
     needles = table(spark, d, "benchmark").select(F.substring("text", 1, 25).alias("needle")).union(spark.createDataFrame([("no such needle at all",)], "needle string"))
-    return O.needles_missing(needles, table(spark, d, "documents")).distinct()
+    return D.missing(needles, table(spark, d, "documents"), "needle").distinct()
+
+
+def _entities(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links of pages, entities): what pages link to under the root, and such names of seven letters or more."""
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("entity")).distinct()
+    return links, links.select("entity").where(F.length("entity") >= 7).distinct()
+
+
+def missing_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "html")
+    return D.missing_links(pages, *_entities(pages))
+
+
+def concept_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Names that more pages mention than link to: candidates for a page or for links."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    links, entities = _entities(pages)
+    named = entities.select("entity", F.concat(F.lit(" "), "entity", F.lit(" ")).alias("phrase"))
+    mentions = D.found(pages, named, "page_id", "html").join(named, "phrase").groupBy("entity").agg(F.count("*").alias("mentions"), F.sum("n").alias("times"))
+    both = mentions.join(links.groupBy("entity").agg(F.count("*").alias("links")), "entity")
+    return both.where(F.col("mentions") > F.col("links")).select("entity", "mentions", "times", "links")
 
 
 def path_filters(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         provenance_digests, unwired_commands, asset_outer_status, managed_entries, caller_counts, batch_join, wiki_consistency, trust_tiers, checks_ok, doctor_report, finding_counts, archive_root, recent_actions, storage_totals,
-        health_rollup, search_report, delete_order, sorted_keys, lease_order, hot_cache, needles_missing, path_filters, broad_denies, config_checks, handler_checks, ci_gate, tool_visibility, transcript_usage, routed_queries, expanded_queries,
+        health_rollup, search_report, delete_order, sorted_keys, lease_order, hot_cache, needles_missing, missing_links, concept_gaps, path_filters, broad_denies, config_checks, handler_checks, ci_gate, tool_visibility, transcript_usage, routed_queries, expanded_queries,
         reranked_topk, forgotten_notes, index_ratchet, cited_search, tool_search, scalar_rules, iso_times, name_counts, dead_archive, address_guard, registered_functions,
     )
 }
@@ -343,6 +365,13 @@ WITH e AS (SELECT p_partkey, unnest([{'k': p_type, 'v': 't'}, {'k': p_name, 'v':
 WITH r AS (SELECT p_partkey AS id, p_brand AS scope, row_number() OVER (PARTITION BY p_brand ORDER BY round(p_size * p_retailprice, 2) DESC, p_partkey) AS rank FROM part) SELECT *, CASE WHEN rank <= 3 THEN 'hot' ELSE 'cold' END AS tier FROM r""",
     "needles_missing": """
 WITH n AS (SELECT DISTINCT left(text, 25) AS needle FROM benchmark UNION SELECT 'no such needle at all') SELECT needle FROM n WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, needle))""",
+    "missing_links": """
+WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS entity FROM pages), n AS (SELECT DISTINCT entity FROM l WHERE length(entity) >= 7)
+SELECT page_id, entity FROM pages JOIN n ON contains(html, ' ' || entity || ' ') WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.page_id = pages.page_id AND l.entity = n.entity)""",
+    "concept_gaps": """
+WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS entity FROM pages), n AS (SELECT entity, count(*) AS links FROM l WHERE length(entity) >= 7 GROUP BY entity)
+SELECT entity, count(*) AS mentions, sum((length(replace(html, ' ' || entity || ' ', chr(1) || ' ' || entity || ' ' )) - length(html)))::BIGINT AS times, any_value(links) AS links
+FROM pages JOIN n ON contains(html, ' ' || entity || ' ') GROUP BY entity HAVING count(*) > any_value(links)""",
     "path_filters": f"""
 WITH p AS (SELECT p_partkey, ({_listed(PATHS)})[p_partkey % {len(PATHS)} + 1] AS path FROM part), s AS (SELECT *, string_split(path, '/') AS x FROM p)
 SELECT p_partkey, path IN ('memory/a.json') AS memory, path NOT IN ('node_modules/p/i.js', 'vendor/other/k.py', 'a/.git/config', 'runtime/x', '.git/x', 'dist/y', 'x/dist/y') AS indexed,

@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import retrieval as R
+from siltstone.operators.index import Index
+from siltstone.session import expire, shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def indexed(spark: SparkSession, d: str) -> Index:
+    """The stored index of the documents, in the shared folder under the digest of their files; built where it isn't there."""
+    docs = table(spark, d, "documents")
+    files = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    seen = files.agg(F.hex(F.bit_xor("f")).alias("f")).first().f
+    index = Index(spark, f"{shared_dir(spark)}/index-{seen}", docs.schema["doc_id"].dataType.simpleString())
+    if not index.store.numbers():
+        index.build(docs.select(F.col("doc_id").alias("doc"), "text"))
+    return index
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")).select("item_id", "doc_id", "score", "rank")
+    return indexed(spark, d).search(table(spark, d, "benchmark")).select("item_id", "doc_id", "score", "rank")
+
+
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Term statistics of an index that was built without every 13th document and then refreshed: every 7th has grown, every 11th is gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    index = Index(spark, expire(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"))
+    index.build(docs.where(F.col("doc") % 13 != 0))
+    index.refresh(docs.where(F.col("doc") % 11 != 0).withColumn("text", F.when(F.col("doc") % 7 == 0, F.concat("text", F.lit(" refreshed again"))).otherwise(F.col("text"))))
+    return index.read("postings").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+
+
+def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Every 50th document's opening as a lexical query and its vector as a dense one, the two lists fused by rank."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    some = table(spark, d, "documents").where(F.col("doc_id") % 50 == 0).join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    lexical = indexed(spark, d).search(some.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("text")), query="query_id", key="vec_id")
+    near = R.dense(v, v.where(F.col("vec_id") % 50 == 0).join(some.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), k=10)
+    arms = [lexical.where(F.col("vec_id") != F.col("query_id")), near]
+    return R.fused(arms, T.rrf_k(F.lit(v.count())), "query_id", "vec_id")
 
 
 BM25 = """
@@ -49,13 +83,13 @@ def context_pack_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return R.dense(v, v.where(F.col("vec_id") % 50 == 0), T.cosine).select("query_id", "vec_id", "score", "rank")
+    return R.dense(v, v.where(F.col("vec_id") % 50 == 0)).select("query_id", "vec_id", "score", "rank")
 
 
 DENSE = """
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
-c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 4) AS score FROM embeddings JOIN q ON vec_id <> query_id),
-dense AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c QUALIFY rank <= 5)
+c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) AS exact FROM embeddings JOIN q ON vec_id <> query_id),
+dense AS (SELECT query_id, vec_id, round(exact, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS rank FROM c QUALIFY rank <= 5)
 """
 
 
@@ -63,10 +97,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     q = v.where(F.col("vec_id") % 50 == 0)
 
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    arms = [R.dense(v, q, T.cosine, 10), R.dense(v, q, dot, 10)]
+    arms = [R.dense(v, q, "cosine", 10), R.dense(v, q, "dot", 10)]
     k = T.rrf_k(F.lit(v.count()))
     return R.fused(arms, k, "query_id", "vec_id")
 
@@ -123,7 +154,7 @@ def output_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(s).alias("chars"), F.sha2(s, 256).alias("sha"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, index_stats, subtoken_postings, context_pack_budget, dense_topk, rrf_fusion, retrieval_metrics, index_freshness, stale_hits, hit_snippets, chunk_windows, output_summary)}
+QUERIES = {f.__name__: f for f in (bm25_topk, index_stats, subtoken_postings, context_pack_budget, dense_topk, rrf_fusion, retrieval_metrics, index_freshness, index_refresh, hybrid_fusion, stale_hits, hit_snippets, chunk_windows, output_summary)}
 
 REDACT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?i)(authorization\s*:\s*bearer\s+)[^\s,;]+', '\1[REDACTED]', 'g'), '(?i)\b(password|passwd|token|api[_-]?key|secret|credential)\b\s*[:=]\s*[^\s,;]+', '\1[REDACTED]', 'g'), '\b(sk-[A-Za-z0-9_-]{{6,}})\b', '[REDACTED]', 'g')"""
 
@@ -146,7 +177,7 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM e GROUP BY term""
     "rrf_fusion": """
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
 k AS (SELECT greatest(30, least(120, round(60 * log2(count(*)) / log2(1024)))) AS k FROM embeddings),
-c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 4) AS s1, round(list_inner_product(embedding::DOUBLE[], qv), 4) AS s2
+c AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) AS s1, round(list_inner_product(embedding::DOUBLE[], qv), 9) AS s2
       FROM embeddings JOIN q ON vec_id <> query_id),
 r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, vec_id) AS rank FROM c QUALIFY rank <= 10
       UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, vec_id) AS rank FROM c QUALIFY rank <= 10),
@@ -158,6 +189,14 @@ n AS (SELECT item_id, count(*) AS n FROM rel GROUP BY item_id)
 SELECT item_id, round(coalesce(hits / n, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr,
        round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))), 0), 6) AS ndcg
 FROM n LEFT JOIN g USING (item_id)""",
+    "index_refresh": """
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(CASE WHEN doc_id % 7 = 0 THEN text || ' refreshed again' ELSE text END), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % 11 <> 0)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM d GROUP BY term""",
+    "hybrid_fusion": BM25.replace("FROM benchmark)", "FROM (SELECT doc_id AS item_id, left(text, 200) AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)))") + "," + DENSE.strip()[5:].replace("q AS (", "v AS (").replace("JOIN q ON", "JOIN v ON").replace("WHERE vec_id % 50 = 0)", "WHERE vec_id % 50 = 0 AND vec_id IN (SELECT doc_id FROM documents))").replace("rank <= 5", "rank <= 10") + """,
+k AS (SELECT greatest(30, least(120, round(60 * log2(count(*)) / log2(1024)))) AS k FROM embeddings),
+r AS (SELECT item_id AS query_id, doc_id AS vec_id, rank FROM bm25 WHERE item_id <> doc_id UNION ALL SELECT query_id, vec_id, rank FROM dense),
+z AS (SELECT query_id, vec_id, round(sum(1 / (k + rank)), 6) AS score FROM r, k GROUP BY ALL)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM z""",
     "index_freshness": PERTURBED + "SELECT * FROM r",
     "stale_hits": BM25 + "," + PERTURBED.strip()[5:] + "SELECT item_id, doc_id, rank, reason <> 'current' AS stale FROM bm25 JOIN r USING (doc_id) WHERE rank <= 3",
     "hit_snippets": BM25 + f"SELECT item_id, doc_id, left({REDACT.format('text')}, 80) AS snippet FROM bm25 JOIN documents USING (doc_id) WHERE rank = 1",

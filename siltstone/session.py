@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,38 @@ def spread(df: DataFrame) -> DataFrame:
         return df  # the parts of a plan with an exchange are only known once it runs
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables on the way: the cluster's checkpoint folder."""
+    checkpointing(spark)
+    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+
+
+#: Folders of stored() that are not dropped yet.
+_stored: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: computed once, its lineage cut. drop_stored() deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/s-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def expire(path: str) -> str:
+    """The path of a folder that drop_stored() is to delete."""
+    _stored.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables of stored(), when the results of all queries have been read."""
+    while _stored:
+        delete(spark, _stored.pop())

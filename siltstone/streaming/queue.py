@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.sources.versions import Versions
+
 TTL, MAX_ATTEMPTS = 300.0, 3
 SCHEMA = "job_id long, state string, attempts int"
 _STATE = "state string, attempts int, lease_id string, until double"
@@ -67,21 +69,32 @@ def expired_dead(jobs: DataFrame, now, days: int = 30) -> DataFrame:
     return jobs.where((F.col("state") == "dead") & (F.col("ts") < now - F.make_dt_interval(F.lit(days))))
 
 
-def append_events(events: DataFrame, path: str, checkpoint: str, dry: bool = False):
-    """A ledger of redacted hook events from a stream; a dry run keeps nothing."""
-    from siltstone.functions.text import redacted
+def redacted_events(events: DataFrame) -> DataFrame:
+    """Hook events with every string in them cleaned, at any depth."""
+    from siltstone.functions.nested import cleaned_rows
+
+    return cleaned_rows(events)
+
 
-    out = events.select([redacted(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in events.dtypes])
-    writer = out.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-    return writer.format("noop").start() if dry else writer.format("json").start(path)
+def append_events(events: DataFrame, store: Versions, checkpoint: str, id_column: str = "event_id", ts: str = "ts", late: str = "1 day", dry: bool = False):
+    """A stream of hook events into a versioned ledger, each event once; returns the query, which ends with the input.
 
+    Within the watermark an event id counts once, whichever file or batch it
+    comes in. A batch is a part of the ledger under its number, so a batch that
+    is run again after a restart replaces nothing: its part is there already. A
+    dry run keeps nothing.
+    """
+    once = redacted_events(events).withWatermark(ts, late).dropDuplicatesWithinWatermark([id_column])
+    writer = once.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    if dry:
+        return writer.format("noop").start()
 
-def chained(lines: list[str], prev: str | None = None) -> list[tuple[str, str | None]]:
-    """(line, hash of the line before) of a single writer's ledger."""
-    import hashlib
+    def keep(batch: DataFrame, number: int) -> None:
+        version = store.version()
+        if str(number) in version.parts.get("events", {}):
+            batch.write.format("noop").mode("append").save()  # the state of the stream has to take the batch all the same
+            return
+        folder = store.stage(events=batch.withColumn("part", F.lit(str(number))))
+        store.commit(version, folder, ["events"], store.staged(folder, "events"))
 
-    out = []
-    for line in lines:
-        out.append((line, prev))
-        prev = hashlib.sha256(line.encode()).hexdigest()
-    return out
+    return writer.foreachBatch(keep).start()

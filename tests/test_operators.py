@@ -104,7 +104,7 @@ def test_orphans_need_a_current_list(spark):
 
 
 def test_chain_with_unchained_prefix(spark):
-    lines = [("a", None), ("b", None), *queue.chained(["c", "d", "e"])]
+    lines = [("a", None), ("b", None), ("c", None), ("d", hashlib.sha256(b"c").hexdigest()), ("e", hashlib.sha256(b"d").hexdigest())]
     import hashlib
 
     lines[2] = ("c", hashlib.sha256(b"b").hexdigest())
@@ -216,7 +216,7 @@ def test_dense_falls_back_to_words(spark):
     asked = vectors.where("vec_id = 1")
 
     def best(v):
-        return [(r.query_id, r.vec_id, r.arm) for r in retrieval.dense_or_lexical(v, asked, docs, queries, T.cosine, 1).collect()]
+        return [(r.query_id, r.vec_id, r.arm) for r in retrieval.dense_or_lexical(v, asked, docs, queries, "cosine", 1).collect()]
 
     assert best(vectors) == [(1, 2, "dense")]
     assert best(None) == best(vectors.limit(0)) == [(1, 2, "lexical")]
