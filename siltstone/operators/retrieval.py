@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from siltstone.session import spread, stored
 
+from .dictionary import found
+
 K1, B = 1.2, 0.75
-#: Passages that `holding` compares with every document.
-SHORT = 100
 
 
 def tokens(text: Column) -> Column:
@@ -58,28 +58,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, inner: int = 4) -> DataFrame:
-    """(passage, key) of the documents (key, text) that hold a passage (passage, text) as it stands.
-
-    A passage's tokens after the first and before the last stand whole in any
-    document that holds it; a run of `inner` of them is the key to meet by, and
-    `contains` decides. Passages with fewer tokens meet every document, so
-    there may be SHORT of these at most.
-    """
-    from .operations import small
-
-    bag = tokens(F.col("text"))
-    items = passages.select(passage, F.col("text").alias("_passage"), bag.alias("_bag"))
-    long = items.where(F.size("_bag") >= inner + 2).select(passage, "_passage", F.xxhash64(F.slice("_bag", 2, inner)).alias("_h"))
-    brief = items.where(F.size("_bag") < inner + 2).select(passage, "_passage")
-    own = spread(docs).select(key, "text", bag.alias("_bag"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_bag") - (inner - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_bag", i, inner)))
-    met = own.withColumn("_runs", F.array_distinct(runs)).select(key, F.explode_outer("_runs").alias("_h")).join(small(long.select("_h").distinct()), "_h")
-    pairs = met.join(small(long), "_h").select(key, passage, "_passage").distinct()
-    out = pairs.join(docs.select(key, "text"), key).where(F.contains("text", "_passage")).select(passage, key)
-    if brief.limit(SHORT + 1).count() > SHORT:
-        raise ValueError(f"more than {SHORT} passages of under {inner + 2} tokens")
-    return out.unionByName(docs.select(key, "text").join(F.broadcast(brief), F.contains("text", "_passage")).select(passage, key))
+def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str) -> DataFrame:
+    """(passage, key) of the documents (key, text) that hold a passage (passage, text) as it stands, of any length."""
+    named = passages.select(passage, F.col("text").alias("phrase"))
+    return found(docs, named, key).join(named, "phrase").select(passage, key)
 
 
 #: Bytes of query vectors that travel to the executors at once; more queries are matched in several passes.
@@ -125,17 +107,17 @@ def dense(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", k: int
     """
     size = queries.select(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     passes = max(1, -(-size.n * max(size.d or 0, 1) * 8 // QUERY_BYTES))
-    found = None
+    near = None
     for part in range(passes):
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == part).select("vec_id", "embedding").toArrow()
         column = own.column(1).combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
         at, wanted = _matrix(column)
         query_ids = np.asarray(own.column(0).to_numpy())[at]
-        near = _matched(vectors, query_ids, _unit(wanted) if metric == "cosine" else wanted, metric, k)
-        found = near if found is None else found.unionByName(near)
+        own = _matched(vectors, query_ids, _unit(wanted) if metric == "cosine" else wanted, metric, k)
+        near = own if near is None else near.unionByName(own)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", F.round("score", digits))
 
 
@@ -166,8 +148,8 @@ def _matched(vectors: DataFrame, query_ids: np.ndarray, wanted: np.ndarray, metr
 def dense_or_lexical(vectors: DataFrame | None, query_vectors: DataFrame, docs: DataFrame, queries: DataFrame, metric: str = "cosine", k: int = 10, key: str = "vec_id", query: str = "query_id") -> DataFrame:
     """(query, key, score, rank, arm): dense hits, or BM25's where there are no vectors. docs: (key, text), queries: (query, text)."""
     if vectors is not None and not vectors.isEmpty():
-        found = dense(vectors, query_vectors, metric, k).select(F.col("query_id").alias(query), F.col("vec_id").alias(key), "score", "rank")
-        return found.withColumn("arm", F.lit("dense"))
+        hits = dense(vectors, query_vectors, metric, k).select(F.col("query_id").alias(query), F.col("vec_id").alias(key), "score", "rank")
+        return hits.withColumn("arm", F.lit("dense"))
     return bm25(docs, queries, k, key, query).select(query, key, "score", "rank").withColumn("arm", F.lit("lexical"))
 
 
@@ -186,9 +168,9 @@ def blended(first: Column, second: Column, rank: Column) -> Column:
     return share * first + (1 - share) * second
 
 
-def metrics(found: DataFrame, relevant: DataFrame, k: int, query: str, key: str) -> DataFrame:
-    """(query, recall, rr, ndcg) of every query with a relevant key. found: (query, key, rank)."""
-    right = found.where(F.col("rank") <= k).join(relevant.select(query, key), [query, key])
+def metrics(ranked: DataFrame, relevant: DataFrame, k: int, query: str, key: str) -> DataFrame:
+    """(query, recall, rr, ndcg) of every query with a relevant key. ranked: (query, key, rank)."""
+    right = ranked.where(F.col("rank") <= k).join(relevant.select(query, key), [query, key])
     gains = right.groupBy(query).agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     all_ = relevant.groupBy(query).agg(F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))

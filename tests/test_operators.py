@@ -1,5 +1,6 @@
 """Hand-computed cases and invariants of the operators."""
 
+import hashlib
 import json
 
 import pytest
@@ -104,10 +105,8 @@ def test_orphans_need_a_current_list(spark):
 
 
 def test_chain_with_unchained_prefix(spark):
-    lines = [("a", None), ("b", None), ("c", None), ("d", hashlib.sha256(b"c").hexdigest()), ("e", hashlib.sha256(b"d").hexdigest())]
-    import hashlib
-
-    lines[2] = ("c", hashlib.sha256(b"b").hexdigest())
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in "bcd"}
+    lines = [("a", None), ("b", None), ("c", sha["b"]), ("d", sha["c"]), ("e", sha["d"])]
     df = spark.createDataFrame([(1, i, x, p) for i, (x, p) in enumerate(lines)], "k int, i int, line string, prev string")
     assert reconcile.chain_status(df, "k", "i", "line", "prev").where("not ok").count() == 0
     bad = df.withColumn("line", F.when(F.col("i") == 3, "D").otherwise(F.col("line")))
