@@ -10,9 +10,13 @@ the best one is the container; an article or main element around it takes its
 place. Its siblings are kept with it unless links make up most of their text,
 and headings before it.
 
+A form outside an article is left out unless it wraps one, or much text, as
+pages of some servers are one form; what stands in the midst of a sentence, such
+as a button, is left out without ending the sentence, and formulas are text.
+
 Inside an article element less is left out: names such as `tags`, `share` or
-`notice` only where the element reads like a set of links or labels, without a
-paragraph; lists of links stay. An article inside an article is a reader's
+`notice`, and compounds such as `related-work`, only where the element reads like
+a set of links or labels, without a paragraph; lists of links stay. An article inside an article is a reader's
 comment, as the HTML standard has it. Outside, link lists are menus if their
 links are short. Names count as whole words between spaces, - and _; a header
 stays with its article if it is named after it (`post-header`, `entry-header`).
@@ -43,10 +47,14 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: White space and slashes before an attribute, its name, and what precedes its value.
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]?[^\s/>=]*)(\s*=\s*)?")
 BARE = re.compile(r"[^\s>]*")
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "xmp"}
 LEFT_OUT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Formulas, and elements that are left out within a line.
+FORMULA = {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "mpadded", "mstyle", "mphantom", "menclose", "merror"}
+WITHIN = {"button", "select", "svg", "canvas", "audio", "video", "object", "iframe", "script", "style", "noscript", "template", "annotation", "annotation-xml"}
+INLINE |= FORMULA
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", *HEADINGS}
 #: Elements that an opening tag of the same kind, or another of the set, ends.
@@ -57,6 +65,8 @@ BESIDE = re.compile(
     r"menu|nav|navbar|navigation|navlinks|toolbar|pagination|pager|related|recommend\w*|sidebar|widgets?|subscribe|newsletter|signup|login|complementary|contentinfo|dialog|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, words that an article may use in compounds for a part of its own.
+COMPOUND = re.compile(r"^(?:modal|overlay|related|recommend\w*|menu|nav|navigation|footer|promo\w*|widgets?|login|consent|popup)$", re.I)
 #: Words that an article may use for a part of its own.
 PERHAPS = re.compile(r"(?:^|[\s_-])(?:banner|notices?|alert|share|sharing|social|side|rail|search|skip|tags|hidden)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|top|global)[_-]?)?(?:header|topbar)(?:$|\s)", re.I)
@@ -66,6 +76,8 @@ SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 MENU_DENSITY, MENU_LINK = 0.75, 30
 #: A paragraph has so many characters.
 PARAGRAPH = 25
+#: A form with so many paragraph tags is a page, not a form.
+FORM_PARAGRAPHS = 5
 
 
 class Node:
@@ -116,6 +128,8 @@ def kind_of(tag: str, names: str, articles: int, mains: int) -> str:
         return "out"
     if tag in ("body", "html", "article", "main") or not names:
         return ""
+    if articles and own_part(names):
+        return "perhaps"
     if BESIDE.search(names) or (not (articles or mains) and tag not in HEADINGS and HEADER.search(names)):
         return "out"
     if PERHAPS.search(names):
@@ -123,6 +137,37 @@ def kind_of(tag: str, names: str, articles: int, mains: int) -> str:
     return ""
 
 
+def own_part(names: str) -> bool:
+    """Whether names are beside an article only by a word within a compound that may be a part of it."""
+    found = False
+    for name in names.split():
+        if BESIDE.search(name):
+            words = re.split("[-_]+", name)
+            if len(words) < 2 or not all(COMPOUND.match(w) or not BESIDE.search(w) for w in words):
+                return False
+            found = True
+    return found
+
+
+_FORM_END = re.compile("</form", re.I)
+
+
+class Forms:
+    """Tells pages wrapped in a form from forms; each end of a form is looked at once."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.seen, self.end = html, {}, -1
+
+    def wrap(self, pos: int) -> bool:
+        if self.end < pos:
+            m = _FORM_END.search(self.html, pos)
+            self.end = m.start() if m else len(self.html)
+        if self.end not in self.seen:
+            held = self.html[pos : self.end].lower()
+            self.seen[self.end] = "<article" in held or "<main" in held or len(re.findall(r"<p[\s>]", held)) >= FORM_PARAGRAPHS
+        return self.seen[self.end]
+
+
 def tree(html: str) -> tuple[Node, list[Node]]:
     """The root, and all nodes in page order. Block texts are strings among the children."""
     root = Node("body", None)
@@ -131,7 +176,7 @@ def tree(html: str) -> tuple[Node, list[Node]]:
     opened: Counter[str] = Counter()  # elements above here, by tag
     skip: list[str] = []  # open elements from the one left out on
     skipped: Counter[str] = Counter()
-    tags = Tags(html)
+    tags, forms = Tags(html), Forms(html)
 
     def flush() -> None:
         nonlocal linked, buffer
@@ -225,7 +270,12 @@ def tree(html: str) -> tuple[Node, list[Node]]:
             continue
         block = tag not in INLINE
         kind = kind_of(tag, names, articles, mains)
+        if tag == "form" and not (articles or mains) and forms.wrap(pos):
+            kind = ""
         if kind == "out":
+            if tag in WITHIN:
+                block = False
+                buffer.append(" ")
             if block:
                 flush()
             if tag in RAW:

@@ -569,3 +569,30 @@ def test_movement_is_confined_to_subtrees_whose_weights_change(spark):
     assert {y.rack for x, y in rows if x.region == y.region and x.rack != y.rack} == {0}
     assert {y.shard for x, y in rows if x.rack == y.rack and x != y} == {3}
     assert sum(y.shard == 3 for _, y in rows) == pytest.approx(4000 * 3 / 22, rel=0.2)
+
+
+# 4, further ------------------------------------------------------------------
+
+
+PARAGRAPHS = [f"Sentence number {i} goes on for a while, with commas, and more words here." for i in range(6)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><form action=x><div>{BODY}</div></form></body>", PARAGRAPHS),
+        (f"<body><FORM><article>{BODY}</article></FORM></body>", PARAGRAPHS),
+        (f"<body><form><p>Subscribe to our newsletter to get updates in your inbox.</p><input></form><article>{BODY}</article></body>", PARAGRAPHS),
+        (f"<article>{BODY}<form><p>Leave a reply, please, with your name and address below.</p>{'<p>x</p>' * 9}</form></article>", PARAGRAPHS),
+        (f"<article>{BODY}<div class='modal-verbs'><p>Modal verbs are can, may and must, and this is text.</p></div></article>", [*PARAGRAPHS, "Modal verbs are can, may and must, and this is text."]),
+        (f"<article>{BODY}<section id='related-work'><p>Others have done this before us, in many ways.</p></section></article>", [*PARAGRAPHS, "Others have done this before us, in many ways."]),
+        (f"<article>{BODY}<div class='related-posts'><a href=x>Other post one</a> <a href=y>Other post two</a></div></article>", PARAGRAPHS),
+        (f"<article>{BODY}<div class='comment-list related-work'><p>First! I like this article very much, thanks for it.</p></div></article>", PARAGRAPHS),
+        (f"<article>{BODY}<p>Press <button>OK</button>to see that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, always.</p></article>", [*PARAGRAPHS, "Press to see that x=2 holds, always."]),
+        ("<form>" * 2000 + "<p>x" * 2000, None),
+    ],
+)
+def test_pages_of_other_shapes(page, want):
+    got = html_text.main_text(page)
+    assert want is None or got == "\n".join(want)
