@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from siltstone.functions import text as T
 from siltstone.operators import retrieval as R
 from siltstone.operators.index import Index
 from siltstone.session import expire, shared_dir
+from siltstone.sources.versions import Conflict
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,7 +26,8 @@ def indexed(spark: SparkSession, d: str) -> Index:
     seen = files.agg(F.hex(F.bit_xor("f")).alias("f")).first().f
     index = Index(spark, f"{shared_dir(spark)}/index-{seen}", docs.schema["doc_id"].dataType.simpleString())
     if not index.store.numbers():
-        index.build(docs.select(F.col("doc_id").alias("doc"), "text"))
+        with suppress(Conflict):  # another session has built it meanwhile
+            index.build(docs.select(F.col("doc_id").alias("doc"), "text"))
     return index
 
 
