@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
-_SHARED = r"(?:refs/heads/)?(?:main|master|develop|development|trunk|prod|production|staging)(?![A-Za-z0-9._/-])"
 #: Commands that are denied, commands that need approval, paths that are denied, in order.
 DENY = [
     r"\brm\s+-rf\s+(/|~|\*|\.)",
@@ -20,10 +19,10 @@ DENY = [
     r"\bkubectl\s+delete\b",
     r"\bterraform\s+destroy\b",
     r"\bpulumi\s+destroy\b",
-    r"\bgit(?:\s+-C\s+\S+)?\s+branch\b[^\n;&|]*(?:-d|-D|--delete)\b[^\n;&|]*(?<![A-Za-z0-9._/-])" + _SHARED,
+    r"\bgit(?:\s+-C\s+\S+)?\s+branch\b[^\n;&|]*(?:-d|-D|--delete)\b[^\n;&|]*(?<![A-Za-z0-9._/-])(?:refs/heads/)?(?:main|master|develop|development|trunk|prod|production|staging)(?![A-Za-z0-9._/-])",
     r"\bgit\s+push\b.*(--force\b|--force-with-lease|\s-f\b)",
-    r"\bgit(?:\s+-C\s+\S+)?\s+push\b[^\n;&|]*(?:--delete|-d)\b[^\n;&|]*(?<![A-Za-z0-9._/-])" + _SHARED,
-    r"\bgit(?:\s+-C\s+\S+)?\s+push\b[^\n;&|]*(?<!\S):" + _SHARED,
+    r"\bgit(?:\s+-C\s+\S+)?\s+push\b[^\n;&|]*(?:--delete|-d)\b[^\n;&|]*(?<![A-Za-z0-9._/-])(?:refs/heads/)?(?:main|master|develop|development|trunk|prod|production|staging)(?![A-Za-z0-9._/-])",
+    r"\bgit(?:\s+-C\s+\S+)?\s+push\b[^\n;&|]*(?<!\S):(?:refs/heads/)?(?:main|master|develop|development|trunk|prod|production|staging)(?![A-Za-z0-9._/-])",
     r"\bgit\s+filter-branch\b",
     r"\bgit\s+filter-repo\b",
     r"\bgit\s+update-ref\s+-d\b",
