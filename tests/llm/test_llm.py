@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -446,13 +447,41 @@ def slow_kneser_ney(texts):
 def test_perplexity_by_definition(spark):
     train = [words(25, i, 12) for i in range(12)]
     rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(train)], "doc_id long, lang string, text string")
-    scorer = kneser_ney.Scorer(kneser_ney.model(rows))
+    tables = kneser_ney.model(rows)
     p = slow_kneser_ney(train)
-    for t in [train[0], words(9, 77, 14), "zz", "w1 zz w1"]:
-        w = [1, 1, *t.split(), 2]
-        want = sum(math.log10(p(*g)) for g in zip(w, w[1:], w[2:]))
-        n, got = scorer(["en"], [t])
-        assert n[0] == len(w) - 2 and got[0] == pytest.approx(want, rel=1e-4)
+    texts = [train[0], words(9, 77, 14), "zz", "w1 zz w1", "", None, "w2", *[words(40, i, 16) for i in range(60)], train[0], " ".join(train) * 20]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"))
+    seen = []
+    for parts in (1, 3, 7):
+        got = {r.doc_id: r for r in kneser_ney.scores(asked.repartition(parts), tables).collect()}
+        seen.append({i: r.perplexity for i, r in got.items()})
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            w = [1, 1, *(t or "").split(), 2]
+            if len(w) == 3:
+                assert got[i].n_tokens == 0 and got[i].perplexity is None
+                continue
+            want = sum(math.log10(p(*g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+            assert got[i].n_tokens == len(w) - 2 and got[i].perplexity == pytest.approx(10**-want, rel=1e-5)
+    assert seen[0] == seen[1] == seen[2] and seen[0][0] == seen[0][len(texts) - 2]
+
+
+def test_shards_keep_all_weights():
+    r = np.random.default_rng(3)
+    keys, values = r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), r.normal(size=5000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v)], names=["key", "value"]) for k, v in zip(np.split(keys, 5), np.split(values, 5))]
+    found = {}
+    for b in kneser_ney.packed_weights(iter(batches)):
+        for shard, k, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+            k, v = np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)
+            assert (k >> np.uint64(64 - kneser_ney.SHARD_BITS) == shard).all()
+            found |= dict(zip(k.tolist(), v.tolist()))
+    assert found == pytest.approx(dict(zip(keys.tolist(), values.tolist())), rel=1e-6)
+    assert list(kneser_ney.packed_weights(iter([]))) == []
+    for kind in (np.uint16, np.uint32, np.uint64):
+        for n in (0, 1, 77):
+            x = r.integers(0, 60000, n).astype(kind)
+            assert (kneser_ney.unsqueezed(kneser_ney.squeezed(x), kind) == x).all()
 
 
 def test_classifier_keeps_clean_text(spark, odd, none):
