@@ -444,15 +444,17 @@ def slow_kneser_ney(texts):
     return p
 
 
-def test_perplexity_by_definition(spark, monkeypatch):
+def test_perplexity_by_definition(spark, monkeypatch, tmp_path):
     train = [words(25, i, 12) for i in range(12)]
     rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(train)], "doc_id long, lang string, text string")
     tables = kneser_ney.model(rows)
     p = slow_kneser_ney(train)
     texts = [train[0], words(9, 77, 14), "zz", "w1 zz w1", "", None, "w2", *[words(40, i, 16) for i in range(60)], train[0], " ".join(train) * 20]
     asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"))
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
     seen = []
-    for parts, bytes_ in ((1, 2 << 30), (3, 2 << 30), (7, 1 << 13)):
+    for parts, bytes_ in ((1, 2 << 30), (3, 2 << 30), (7, 1 << 12)):
         monkeypatch.setattr(kneser_ney, "SALT_BYTES", bytes_)  # several tasks for each shard
         got = {r.doc_id: r for r in kneser_ney.scores(asked.repartition(parts), tables).collect()}
         seen.append({i: r.perplexity for i, r in got.items()})
