@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import chunks as C
 from siltstone.operators import retrieval as R
 from siltstone.operators.index import Index
-from siltstone.session import expire, shared_dir
+from siltstone.session import expire, shared_dir, spread
 from siltstone.sources.versions import Conflict
 
 
@@ -152,12 +153,17 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return starts.select("doc_id", "chunk", "start", F.least(F.lit(900), F.col("n") - F.col("start")).alias("length"))
 
 
+def tree_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts in chunks of at most 512 words along their lines, nesting and sentences. The merging of siblings has no SQL; tests hold it against a recursive twin."""
+    return C.tree_chunks(spread(table(spark, d, "documents")), "doc_id", "text", 512)
+
+
 def output_summary(spark: SparkSession, d: str) -> DataFrame:
     s = T.head_and_tail(F.col("text"), 3, 1, 400)
     return table(spark, d, "documents").select("doc_id", F.length(s).alias("chars"), F.sha2(s, 256).alias("sha"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, index_stats, subtoken_postings, context_pack_budget, dense_topk, rrf_fusion, retrieval_metrics, index_freshness, index_refresh, hybrid_fusion, stale_hits, hit_snippets, chunk_windows, output_summary)}
+QUERIES = {f.__name__: f for f in (bm25_topk, index_stats, subtoken_postings, context_pack_budget, dense_topk, rrf_fusion, retrieval_metrics, index_freshness, index_refresh, hybrid_fusion, stale_hits, hit_snippets, chunk_windows, tree_chunks, output_summary)}
 
 REDACT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?i)(authorization\s*:\s*bearer\s+)[^\s,;]+', '\1[REDACTED]', 'g'), '(?i)\b(password|passwd|token|api[_-]?key|secret|credential)\b\s*[:=]\s*[^\s,;]+', '\1[REDACTED]', 'g'), '\b(sk-[A-Za-z0-9_-]{{6,}})\b', '[REDACTED]', 'g')"""
 
