@@ -77,6 +77,32 @@ def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> Da
     return both.select(F.col("id").alias("a"), F.col("id2").alias("b"), jaccard.alias("jaccard")).where(F.col("jaccard") > least)
 
 
+def window_pairs(by: list[str], days: int) -> Column:
+    """For counts (by.., day, n) the pairs of a row's items with each other and with those of the same group up to `days` days later; summed, each pair counts once."""
+    later = Window.partitionBy(*by).orderBy("day").rangeBetween(1, days)
+    n = F.col("n").cast("double")  # exact up to 2 ** 53 pairs
+    return n * (n - 1) / 2 + n * F.coalesce(F.sum("n").over(later), F.lit(0))
+
+
+def duplicate_share(docs: DataFrame, least: float = 0.6, days: int = 7) -> DataFrame:
+    """(duplicates, pairs, rate) in one row, over all pairs of docs (doc_id, text, day) at most `days` apart. Duplicates have shingle sets that overlap by more than `least`, or equal texts.
+
+    Copies are never paired: a text is compared once, and its copies enter as counts by day. Null texts equal each other.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("\u0000")), 256)
+    daily = docs.groupBy(digest.alias("_digest"), "day").agg(F.count("*").alias("n"), F.min("doc_id").alias("_least"))
+    counts = stored(daily.select(F.min("_least").over(Window.partitionBy("_digest")).alias("id"), "day", "n"))
+    items = with_shingles(distinct_texts(docs).select("id", "text", F.lit(0).alias("day")), "text", "h").select("id", "day", "h")
+    a, b = (counts.select(F.col("id").alias(x), F.col("day").alias(f"_{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    between = near_pairs(items, least, None).select("a", "b").join(a, "a").join(b, "b").where(F.abs(F.col("_a") - F.col("_b")) <= days)
+    near = between.agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)).alias("x"))
+    same = counts.select(window_pairs(["id"], days).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"))
+    every = counts.groupBy("day").agg(F.sum("n").alias("n"))  # a row for each day
+    pairs = every.select(window_pairs([], days).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("pairs"))
+    duplicates = near.unionByName(same).agg(F.sum("x").alias("duplicates"))
+    return duplicates.join(F.broadcast(pairs)).select("duplicates", "pairs", rate(F.col("duplicates"), F.col("pairs")).alias("rate"))
+
+
 def queue_ages(jobs: DataFrame, now: Column) -> DataFrame:
     """(state, jobs, oldest_id, oldest_age_s). jobs: (id, state, ts)."""
     age = (F.unix_micros(now) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6

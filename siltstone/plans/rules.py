@@ -94,7 +94,24 @@ def rates_axes(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(rate(F.count_if(F.col("toxic") == 1), F.count("*")).alias("spam_rate"), rate(F.count_if(F.col("quality") == 0), F.count("*")).alias("policy_violation_rate"), rate(F.count_if(tell), F.count("*")).alias("ai_tell_rate"))
 
 
-QUERIES = {f.__name__: f for f in (candidate_score, candidate_top, keyword_bag, policy_decision, worst_decision, precall_routing, path_policy, prompt_nudges, redact_text, secret_scan, rates_axes)}
+#: The axes and their targets.
+AXES = {"spam_rate": "< 0.02", "context_fit_rate": "> 0.85", "duplicate_rate": "< 0.05", "ai_tell_rate": "< 0.05", "policy_violation_rate": "< 0.10"}
+SAMPLE = 50
+
+
+def axes_report(spark: SparkSession, d: str) -> DataFrame:
+    """(axis, value, target, met): each axis against its target. The judge's verdict is the label `quality`, of a sample of 50; documents are dated by their id."""
+    from siltstone.operators import evals as E
+
+    fit = E.sampled(table(spark, d, "labels"), "doc_id", SAMPLE).agg(E.rate(F.count_if(F.col("quality") == 1), F.count("*")).alias("context_fit_rate"))
+    dated = table(spark, d, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(30)).alias("day"))
+    row = rates_axes(spark, d).join(F.broadcast(fit)).join(F.broadcast(E.duplicate_share(dated).select(F.col("rate").alias("duplicate_rate"))))  # one row each
+    axes = row.select(F.inline(F.array(*[F.struct(F.lit(x).alias("axis"), F.col(x).alias("value"), F.lit(t).alias("target")) for x, t in AXES.items()])))
+    bound = F.substring("target", 3, 9).cast("double")
+    return axes.withColumn("met", F.when(F.col("target").startswith("<"), F.col("value") < bound).otherwise(F.col("value") > bound))
+
+
+QUERIES = {f.__name__: f for f in (candidate_score, candidate_top, keyword_bag, policy_decision, worst_decision, precall_routing, path_policy, prompt_nudges, redact_text, secret_scan, rates_axes, axes_report)}
 
 
 def _keywords(terms: list[str]) -> str:
@@ -131,4 +148,19 @@ FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9가-
     "secret_scan": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'acknowledged' ELSE 'flagged' END AS state FROM documents WHERE doc_id % 9 <> 0 AND {REDACT.format('text')} <> text",
     "rates_axes": r"""SELECT round(count(*) FILTER (toxic = 1) / count(*), 6) AS spam_rate, round(count(*) FILTER (quality = 0) / count(*), 6) AS policy_violation_rate,
 round(count(*) FILTER (regexp_matches(text, '(?i)as an ai|i''?m happy to help|great question')) / count(*), 6) AS ai_tell_rate FROM labels LEFT JOIN documents USING (doc_id)""",
+    "axes_report": r"""
+WITH c AS (SELECT doc_id, doc_id % 30 AS day, min(doc_id) OVER (PARTITION BY text) AS id FROM documents),
+own AS (SELECT min(doc_id) AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents GROUP BY text),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM own),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+near AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) > 0.6),
+dup AS (SELECT (SELECT count(*) FROM near JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE abs(x.day - y.day) <= 7)
+  + (SELECT count(*) FROM c x JOIN c y ON x.id = y.id AND x.doc_id < y.doc_id AND abs(x.day - y.day) <= 7) AS k, (SELECT count(*) FROM c x JOIN c y ON x.doc_id < y.doc_id AND abs(x.day - y.day) <= 7) AS n),
+fit AS (SELECT quality FROM labels ORDER BY sha256(doc_id::VARCHAR), doc_id LIMIT 50)
+SELECT 'spam_rate' AS axis, round(count(*) FILTER (toxic = 1) / count(*), 6) AS value, '< 0.02' AS target, value < 0.02 AS met FROM labels
+UNION ALL SELECT 'context_fit_rate', round(count(*) FILTER (quality = 1) / count(*), 6) AS v, '> 0.85', v > 0.85 FROM fit
+UNION ALL SELECT 'duplicate_rate', round(k / n, 6) AS v, '< 0.05', v < 0.05 FROM dup
+UNION ALL SELECT 'ai_tell_rate', round(count(*) FILTER (regexp_matches(text, '(?i)as an ai|i''?m happy to help|great question')) / count(*), 6) AS v, '< 0.05', v < 0.05 FROM labels LEFT JOIN documents USING (doc_id)
+UNION ALL SELECT 'policy_violation_rate', round(count(*) FILTER (quality = 0) / count(*), 6) AS v, '< 0.10', v < 0.10 FROM labels""",
 }
