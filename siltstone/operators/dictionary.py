@@ -7,7 +7,8 @@ matched in several passes over the texts. Each worker makes the automaton of a
 shard once.
 
 Defined cases: null or empty phrases match nothing; null texts count as empty;
-equal phrases are one; phrases match as they stand, overlapping ones each;
+equal phrases are one; phrases match as they stand, overlapping ones each, with
+`apart` only those places of a phrase that begin beyond the end of the last counted;
 repeated keys give a row each; very long texts are read whole.
 """
 
@@ -41,7 +42,7 @@ def _automaton(shard: str, phrases: list[str]):
     return _made[shard]
 
 
-def found(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "phrase", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def found(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "phrase", shard_bytes: int = SHARD_BYTES, apart: bool = False) -> DataFrame:
     """(key, phrase, n): how often each phrase stands in each text that holds it."""
     wanted = phrases.select(F.col(phrase).alias("p")).where(F.length("p") > 0).distinct()
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("p") + 16), F.lit(0))).first()[0]
@@ -59,8 +60,10 @@ def found(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text", ph
                 at, hits, counts = [], [], []
                 for i, t in enumerate(b.column(1)):
                     seen: dict[str, int] = {}
-                    for _, p in automaton.iter(t.as_py() or "") if automaton else ():
-                        seen[p] = seen.get(p, 0) + 1
+                    ends: dict[str, int] = {}
+                    for end, p in automaton.iter(t.as_py() or "") if automaton else ():
+                        if not apart or end - len(p) >= ends.get(p, -1):
+                            seen[p], ends[p] = seen.get(p, 0) + 1, end
                     at += [i] * len(seen)
                     hits += seen
                     counts += seen.values()
