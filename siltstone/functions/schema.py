@@ -14,6 +14,7 @@ the order of the schema, extra keys by name.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from importlib import resources
 
 from pyspark.sql import Column, SparkSession
@@ -35,8 +36,12 @@ def packaged(name: str) -> dict:
     return said.get("input_schema", said)
 
 
-def _is(v: Column, kind: str) -> Column:
-    shape = F.schema_of_variant(v)
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once for a row, however often it is named."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _is(v: Column, shape: Column, kind: str) -> Column:
     number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
     return {
         "string": shape == "STRING",
@@ -55,6 +60,16 @@ def _literal(value: object) -> Column:
 
 def _errors(v: Column, schema: dict, path: Column) -> Column:
     """What is wrong with v, which is there (if null: JSON's null)."""
+
+    def typed(shape: Column) -> Column:
+        if not schema.keys() & {"required", "properties", "additionalProperties"}:
+            return _listed(v, shape, None, schema, path)
+        return _once(F.when(_is(v, shape, "object"), F.try_variant_get(v, "$", "map<string,variant>")), lambda fields: _listed(v, shape, fields, schema, path))
+
+    return _once(F.schema_of_variant(v), typed)
+
+
+def _listed(v: Column, shape: Column, fields: Column | None, schema: dict, path: Column) -> Column:
     unknown = schema.keys() - DESCRIBING - {"type", "enum", "const", "required", "properties", "additionalProperties", "minLength", "maxLength", "pattern", "minimum", "maximum", "minItems", "maxItems", "items"}
     if unknown:
         raise ValueError(f"keywords without a rule: {sorted(unknown)}")
@@ -68,15 +83,14 @@ def _errors(v: Column, schema: dict, path: Column) -> Column:
     if kinds:
         fits = F.lit(False)
         for k in kinds:
-            fits = fits | _is(v, k)
+            fits = fits | _is(v, shape, k)
         rule("type", ~fits)
     for word, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
         if values is not None:
             rule(word, ~F.to_json(v).isin(*[_literal(x) for x in values]))
-    text = F.when(_is(v, "string"), F.try_variant_get(v, "$", "string"))
-    number = F.when(_is(v, "number"), F.try_variant_get(v, "$", "double"))
-    items = F.when(_is(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
-    fields = F.when(_is(v, "object"), F.try_variant_get(v, "$", "map<string,variant>"))
+    text = F.when(_is(v, shape, "string"), F.try_variant_get(v, "$", "string"))
+    number = F.when(_is(v, shape, "number"), F.try_variant_get(v, "$", "double"))
+    items = F.when(_is(v, shape, "array"), F.try_variant_get(v, "$", "array<variant>"))
     for word, broken in {
         "minLength": lambda x: F.length(text) < x, "maxLength": lambda x: F.length(text) > x, "pattern": lambda x: ~text.rlike(x),
         "minimum": lambda x: number < x, "maximum": lambda x: number > x, "minItems": lambda x: F.size(items) < x, "maxItems": lambda x: F.size(items) > x,
@@ -92,19 +106,18 @@ def _errors(v: Column, schema: dict, path: Column) -> Column:
         if key in schema.get("required", []):
             parts.append(F.when(F.coalesce(~held, F.lit(False)), F.array(F.concat(own, F.lit(": required")))).otherwise(none))
         if key in named:
-            parts.append(F.when(F.coalesce(held, F.lit(False)), _errors(F.try_element_at(fields, F.lit(key)), named[key], own)).otherwise(none))
+            parts.append(F.when(F.coalesce(held, F.lit(False)), _once(F.try_element_at(fields, F.lit(key)), lambda x: _errors(x, named[key], own))).otherwise(none))
     more = schema.get("additionalProperties", True)
     if more is not True:
         extra = F.array_sort(F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in named]).cast(_NONE)))
         if more is False:
             wrong = F.transform(extra, lambda k: F.concat(path, F.lit("."), k, F.lit(": additionalProperties")))
         else:
-            wrong = F.flatten(F.transform(extra, lambda k: _errors(F.try_element_at(fields, k), more, F.concat(path, F.lit("."), k))))
+            wrong = F.flatten(F.transform(extra, lambda k: _once(F.try_element_at(fields, k), lambda x: _errors(x, more, F.concat(path, F.lit("."), k)))))
         parts.append(F.coalesce(wrong, none))
     return F.concat(*parts) if parts else none
 
 
 def violations(text: Column, schema: dict) -> Column:
     """The errors of a JSON text, an array of strings; empty if it conforms. Null and unreadable texts are `$: json`."""
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_errors(v, schema, F.lit("$")))
+    return _once(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(_errors(v, schema, F.lit("$"))))
