@@ -117,33 +117,14 @@ def prior_session(rows: DataFrame, owner: str, session: str, ts: str, days: int
     return rows.join(prior.select(owner, session), [owner, session], "left_semi")
 
 
-#: Levels that priors are sorted into.
-LEVELS = 256
-
-
 def recalled(index: Index, priors: DataFrame, queries: DataFrame, k: int = 5, first: int = 20, query: str = "item_id") -> DataFrame:
     """(query, doc, recall, rank): the k documents of highest prior * s / (s + 1), s their BM25 score. priors: (doc, prior), each doc once, within 0 and 1.
 
-    Two sorted lists are read as far as needed. The first documents by BM25 give
-    k products, the least of which must be reached, and a score that no other
-    document exceeds; so any other must have a prior of more than their
-    quotient. Priors are looked up by level, and what is found there gets its
-    score from the blocks of its group. The result is exact; documents without a
-    word of the query are in none.
+    Each segment of the index takes the priors of its documents and returns its
+    best products, so no pair of a query and a document leaves its task without
+    being among them. The result is exact; documents without a word of the query
+    are in none. `first` is the least number of products that a segment keeps.
     """
-    near = stored(index.search(queries, first, query, "doc"))
-    share = F.col("score") / (F.col("score") + 1)
-    known = near.join(priors, "doc").select(query, "doc", (F.col("prior") * share).alias("product"))
-    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("product"))))
-    reached = ranked.where(F.col("_r") == k).select(query, F.col("product").alias("least"))
-    ends = near.where(F.col("rank") == first).select(query, share.alias("beyond"))  # without one, all with a word of it are known
-    asked = ends.join(reached, query, "left").withColumn("bound", (F.coalesce("least", F.lit(0.0)) / F.col("beyond")) * (1 - 1e-6))
-    level = F.least(F.floor(F.col("prior") * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    from_ = F.least(F.floor(F.col("bound") * LEVELS), F.lit(LEVELS)).cast("int")
-    asked = asked.where(from_ < LEVELS).select(query, "bound", F.explode(F.sequence(from_, F.lit(LEVELS - 1))).alias("_level"))
-    high = asked.join(priors.withColumn("_level", level), "_level").where(F.col("prior") >= F.col("bound")).select(query, "doc")
-    other = index.scored(high.join(near.select(query, "doc"), [query, "doc"], "left_anti"), queries, query)
-    both = known.unionByName(other.join(priors, "doc").select(query, "doc", (F.col("prior") * share).alias("product")))
     best = Window.partitionBy(query).orderBy(F.desc("recall"), "doc")
-    out = both.select(query, "doc", F.round("product", 6).alias("recall"))
+    out = index.recalled(queries, priors, max(k, first), query).select(query, "doc", F.round("score", 6).alias("recall"))
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
