@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,43 +38,178 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
 
 #: Sets that hold a shingle beyond which it comes late in the order of the prefix filter.
 COMMON = 16
+#: So many of the most common shingles have their place in that order by their count; it decides what is compared, not what is found.
+LATE = 1 << 20
+#: Parts that hashes are dealt to, bits of a hash that are kept in a part, hashes that are packed at once.
+SHARDS, REST, AT_ONCE = 1024, 30, 1 << 20
+#: Up to so many ids are broadcast.
+BROADCAST = 1_000_000
+
+
+def picked(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose key is in keys, a stored table; only keys travel where they are few."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, on, "left_semi")
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text): each different text once, under its least key. Only digests are shuffled."""
-    named = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("_d", F.sha2("text", 256))
-    first = named.groupBy("_d").agg(F.min("id").alias("id"))
-    w = Window.partitionBy("_d").orderBy(F.monotonically_increasing_id())
-    return named.join(first, ["_d", "id"], "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).select("id", "text")
+    """(id, text): each different text once, under its least key. Only digests are shuffled, and texts whose least key stands twice."""
+    named = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("_t", F.xxhash64("text"))
+    digests = named.select("id", "_t", F.unhex(F.sha2("text", 256)).alias("_d")).groupBy("_d", "_t", "id").agg(F.count("*").alias("c"))
+    first = stored(digests.groupBy("_d").agg(F.min(F.struct("id", "_t", "c")).alias("f")).select("f.id", "f._t", "f.c"))
+    once = picked(named, first.where(F.col("c") == 1).select("id", "_t"), ["id", "_t"]).select("id", "text")
+    more = first.where(F.col("c") > 1).select("id", "_t")
+    return once if more.isEmpty() else once.unionByName(picked(named, more, ["id", "_t"]).select("id", "text").dropDuplicates())
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones first, so that small numbers compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(x: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of batches (.., h) with at most AT_ONCE hashes, or one row: the rows, their sizes, their hashes."""
+    for b in it:
+        sizes = b.column("h").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, lo = np.cumsum(sizes), 0
+        while lo < len(sizes):
+            done = ends[lo] - sizes[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            own = b.slice(lo, hi - lo)
+            yield own, sizes[lo:hi], own.column("h").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            lo = hi
+
+
+def _by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The rows of each shard, of batches in order of shard."""
+    at, rows = None, []
+    for b in it:
+        for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if shard != at and rows:
+                yield at, rows
+                rows = []
+            at = shard
+            rows.append(row)
+    if rows:
+        yield at, rows
+
+
+def common_shingles(items: DataFrame) -> DataFrame:
+    """(k, c) of the shingles that more than COMMON of items (h) hold, k their first 40 bits. About three bytes of each shingle are shuffled."""
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, h in _pieces(it):
+            k = np.sort(h >> np.uint64(64 - 10 - REST))
+            ends = np.searchsorted(k, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(REST))
+            rest = (k & np.uint64((1 << REST) - 1)).astype(np.uint32)
+            full = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_planes(_steps(rest[ends[s] : ends[s + 1]])) for s in full], pa.binary())], names=["shard", "keys"])
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _by_shard(it):
+            k, c = np.unique(np.concatenate([np.cumsum(_numbers(x, np.uint32), dtype=np.uint32) for (x,) in rows]), return_counts=True)
+            often = c > COMMON
+            yield pa.RecordBatch.from_arrays([pa.array((shard << REST) + k[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=["k", "c"])
+
+    packed = items.select("h").mapInArrow(pack, "shard int, keys binary")
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "k long, c long")
+
+
+def meeting(items: DataFrame, least: float, days: int | None) -> DataFrame:
+    """(id, id2), id < id2, of items (id, day, h) that share a shingle of their prefixes and fit in size and day; pairs may stand several times."""
+    late = stored(common_shingles(items)).orderBy(F.desc("c"), "k").limit(LATE).toArrow().sort_by("k")
+    sent = items.sparkSession.sparkContext.broadcast((late.column(0).to_numpy(), late.column(1).to_numpy()))
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = sent.value
+        for rows, n, h in _pieces(it):
+            doc = np.repeat(np.arange(len(n)), n)
+            k = (h >> np.uint64(64 - 10 - REST)).astype(np.int64)
+            c = np.zeros(len(k), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                c = np.where(keys[at] == k, counts[at], 0)
+            order = np.lexsort((h, c, doc))
+            place = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            order = order[place < np.repeat(n - np.ceil(n * least).astype(np.int64) + 1, n)]
+            k, doc = k[order], doc[order]
+            order = np.argsort(k >> REST, kind="stable")  # documents stay in order in each shard
+            k, doc = k[order], doc[order]
+            ends = np.searchsorted(k >> REST, np.arange(SHARDS + 1))
+            rest = (k & ((1 << REST) - 1)).astype(np.uint32)
+            ids, day = (rows.column(x).to_numpy(zero_copy_only=False).astype(kind) for x, kind in (("id", np.int64), ("day", np.int32)))
+            full = np.flatnonzero(np.diff(ends))
+            cut = [(ends[s], ends[s + 1]) for s in full]
+            out = [[_planes(rest[a:b]) for a, b in cut], [_planes(_steps(ids[doc[a:b]])) for a, b in cut], [_planes(n[doc[a:b]].astype(np.int32)) for a, b in cut], [_planes(day[doc[a:b]]) for a, b in cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in out]], names=["shard", "keys", "ids", "ns", "days"])
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_shard(it):
+            k = np.concatenate([_numbers(x[0], np.uint32) for x in rows])
+            ids = np.concatenate([np.cumsum(_numbers(x[1], np.int64)) for x in rows])
+            n, day = (np.concatenate([_numbers(x[i], np.int32) for x in rows]) for i in (2, 3))
+            order = np.argsort(k, kind="stable")
+            ids, n, day = ids[order], n[order], day[order]
+            k = k[order]
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            sizes = np.diff(np.append(starts, len(k)))
+            held, size = [], 0
+
+            def pairs() -> pa.RecordBatch:
+                both = np.unique(np.concatenate(held), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "id2"])
+
+            for x, y in _within(starts, sizes):
+                near = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * least)
+                if days is not None:
+                    near &= np.abs(day[x] - day[y]) <= days
+                x, y = ids[x[near]], ids[y[near]]
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                size += len(x)
+                if size > AT_ONCE:
+                    yield pairs()
+                    held, size = [], 0
+            if size:
+                yield pairs()
+
+    packed = items.mapInArrow(pack, "shard int, keys binary, ids binary, ns binary, days binary")
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "id long, id2 long")
 
 
-def rare_first(sized: DataFrame) -> DataFrame:
-    """sized (id, h, ..) with h in one order for all rows: shingles of at most COMMON sets by hash, then the others by rising count."""
-    each = sized.select("id", F.explode_outer("h").alias("g"))
-    common = each.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
-    late = each.join(common, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("late"))
-    g = F.col("late.g")
-    return sized.join(late, "id", "left").withColumn("h", F.when(g.isNull(), F.col("h")).otherwise(F.concat(F.array_except("h", g), g))).drop("late")
+def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in the same run, at most about AT_ONCE at once."""
+    for size in np.unique(sizes[sizes > 1]):
+        own = starts[sizes == size]
+        for i in range(size - 1):
+            later = np.arange(i + 1, size)
+            step = max(1, AT_ONCE // len(later))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step, None]
+                yield np.broadcast_to(part + i, (len(part), len(later))).ravel(), (part + later).ravel()
 
 
 def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> DataFrame:
-    """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h).
+    """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h), ids and days whole numbers.
 
     Prefix filter: of sets in one order, two with such an overlap share one of
     their first n - ceil(least * n) + 1; only pairs that meet there, within the
     days, are compared. The order puts common shingles last, so that boilerplate
-    is not what sets meet by. The sets are written once, since keys and
-    comparisons read them.
+    is not what sets meet by. The sets are never stored or shuffled but for
+    those of pairs that met: shingles travel packed by hash, and items are made
+    anew for each of the three times that they are read.
     """
-    # set sizes are filtered after an explode_outer, which keeps the filter from being pushed into the making of the sets
-    sized = stored(items.select("id", "day", F.explode_outer(F.array(F.array_sort("h"))).alias("h")).withColumn("n", F.size("h")).where(F.col("n") > 0))
-    prefix = rare_first(sized).withColumn("p", F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))
-    keys = prefix.select("id", "day", "n", F.explode("p").alias("k"))
-    other = keys.select(F.col("id").alias("id2"), F.col("day").alias("day2"), F.col("n").alias("n2"), "k")
-    close = F.lit(True) if days is None else F.abs(F.col("day") - F.col("day2")) <= days
-    near = close & (F.col("id") < F.col("id2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least)
-    pairs = keys.join(other, "k").where(near).select("id", "id2").distinct()
-    h = sized.select("id", "h", "n")
+    items = items.select("id", "day", "h")
+    pairs = stored(meeting(items, least, days).distinct())
+    some = stored(pairs.select(F.explode(F.array("id", "id2")).alias("id")).distinct())
+    h = picked(items, some, ["id"]).select("id", "h").withColumn("n", F.size("h"))
     both = pairs.join(h, "id").join(h.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2")), "id2")
     shared = F.size(F.array_intersect("h", "h2"))
     jaccard = shared / (F.col("n") + F.col("n2") - shared)
