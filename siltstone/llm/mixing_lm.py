@@ -1,4 +1,4 @@
-"""Operator 6: document scores by online logistic mixing of hashed-context bit predictors.
+"""Operator 6: document scores by logistic mixing of hashed-context bit predictors.
 
 A text is its words, lower-cased in A-Z, and one end. A symbol is a frequent
 word, the end, or an escape for any other word; symbols are leaves of a Huffman
@@ -13,10 +13,12 @@ bytes, and all bytes so far).
 
 The stretched probabilities are mixed by weights that a gate selects (how much
 the special contexts have seen); a last table, by gate and mixed prediction,
-refines the result. Both are learnt online, bit by bit in a fixed order: over
-the first training documents by hash of id and text, up to FIT_TOKENS tokens,
-each predicted from the counts of all other documents. So scores don't depend
-on how the input is partitioned.
+refines the result. Both are learnt from the bits of all training documents,
+each predicted from the counts of all other documents (of all other spelt
+words): one pass counts zeros and ones by gate and predictions, these rounded
+to a grid, so that what is learnt from is bounded by the grid and sums of whole
+numbers, the same however the input is partitioned. Newton steps on these counts
+give the weights.
 
 Counts come from all training documents, by three aggregations: of words (a
 distributed table, joined to the words behind escapes); of (context, symbol)
@@ -39,7 +41,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -60,10 +62,11 @@ SPELL_BITS = (16, 18, 18, 18, 18)
 DELTA = 0.4
 GATES = 9
 CELLS = 33
-RATE = 0.04
-#: Bits between two moves of the weights.
-STEP_BITS = 1 << 12
-FIT_TOKENS, FIT_DOCUMENTS = 1 << 18, 1000
+#: Grids of predictions that weights are learnt on: levels and step, of words and of spelling.
+LEVELS = ((33, 0.5), (15, 1.0))
+NEWTON = 30
+#: How much the weights are held to a plain mean, for gates with few bits: as a count of bits predicted by 1.
+PRIOR = 100.0
 MOST_TOKENS = 1 << 19
 #: Tokens whose pairs one task sums at most for a region that holds a third of them, about.
 TOKENS_A_SUM = 1 << 28
@@ -130,12 +133,12 @@ def whole_slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 class Mixer:
     """Count tables over one alphabet, their gated weights and the refining table."""
 
-    def __init__(self, counts: list[np.ndarray], special: tuple[int, int]) -> None:
-        """counts: of 0 and 1 in turn, by slot. special: the predictors whose counts select the gate."""
-        self.counts, self.special = counts, special
+    def __init__(self, counts: list[np.ndarray], special: tuple[int, int], levels: tuple[int, float]) -> None:
+        """counts: of 0 and 1 in turn, by slot. special: the predictors whose counts select the gate. levels: the grid to learn on."""
+        self.counts, self.special, self.levels = counts, special, levels
+        self.own: list[np.ndarray] = []
         k = len(counts)
         self.weights = np.full((GATES, k), 1.0 / k, np.float32)
-        self.squares = np.full((GATES, k), 1e-3)
         self.cells = np.zeros((GATES * CELLS, 2))
         self.ready: list[tuple[np.ndarray, np.ndarray]] | None = None
 
@@ -174,30 +177,95 @@ class Mixer:
         on = np.clip(np.rint(np.where(bit, dot, -dot) * GRID), -GRID * EDGE, GRID * EDGE)
         return self.costs.take(on.astype(np.intp) + GRID * EDGE)
 
-    def fit(self, at: list[np.ndarray], bit: np.ndarray) -> None:
-        """Learn from one document: predict its bits from the counts of all others, then move the weights and refine."""
-        pairs = []
-        for c, i in zip(self.counts, at):
-            _, of, n = np.unique(2 * i.astype(np.int64) + bit, return_inverse=True, return_counts=True)
-            own = dict(zip((2 * i.astype(np.int64) + bit).tolist(), n[of].tolist()))
-            other = np.fromiter((own.get(k, 0) for k in (2 * i.astype(np.int64) + 1 - bit).tolist()), np.float64, len(i))
-            same = n[of].astype(np.float64)
-            c0, c1 = c[2 * i] - np.where(bit, other, same), c[2 * i + 1] - np.where(bit, same, other)
-            pairs.append((np.maximum(c0, 0), np.maximum(c1, 0)))
-        x = [np.log((c1 + DELTA) / (c0 + DELTA)).astype(np.float32) for c0, c1 in pairs]
-        a, b = (self.fill(pairs[k][0] + pairs[k][1]) for k in self.special)
-        gate = (3 * a + b).astype(np.intp)
-        for lo in range(0, len(bit), STEP_BITS):
-            own = slice(lo, lo + STEP_BITS)
-            g, y, part = gate[own], bit[own], [xi[own] for xi in x]
-            dot = self.mixed(part, g)
-            error = y - 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
-            n = np.bincount(g, minlength=GATES)
-            for i, xi in enumerate(part):
-                step = np.bincount(g, error * xi, GATES) / np.maximum(n, 1)
-                self.squares[:, i] += step * step
-                self.weights[:, i] += (RATE * step / np.sqrt(self.squares[:, i])).astype(np.float32)
-            self.cells += np.bincount(2 * self.cell(dot, g) + y, minlength=2 * GATES * CELLS).reshape(-1, 2)
+    def keys(self, at: list[np.ndarray], bit: np.ndarray, own: bool) -> np.ndarray:
+        """Places in the grid of bits, predicted without the counts in self.own (of the bits themselves, if not own)."""
+        levels, step = self.levels
+        key, total = np.zeros(len(bit), np.int64), {}
+        sign = np.where(bit, np.float32(1 / step), np.float32(-1 / step))
+        for t, (c, i) in enumerate(zip(self.counts, at)):
+            k = 2 * i.astype(np.int64) + bit
+            same, other = c.take(k), c.take(k ^ 1)
+            if own:
+                same, other = same - self.own[t].take(k), np.maximum(other - self.own[t].take(k ^ 1), 0)
+            else:
+                same = same - 1
+            same = np.maximum(same, 0)
+            if t in self.special:
+                total[t] = self.fill(same + other)
+            x = np.rint(np.log((same + np.float32(DELTA)) / (other + np.float32(DELTA))) * sign)
+            key = key * levels + (np.clip(x, -(levels // 2), levels // 2).astype(np.int64) + levels // 2)
+        a, b = (total[t].astype(np.int64) for t in self.special)
+        return ((3 * a + b) * levels ** len(self.counts) + key) * 2 + bit
+
+    def document_keys(self, runs: Callable[[], Iterable]) -> Iterator[np.ndarray]:
+        """Places in the grid of a document's bits, predicted from the counts of all others. runs() gives its (item, bit, slots) again at each call."""
+        if not self.own:
+            self.own = [np.zeros(len(c), np.float32) for c in self.counts]
+        for _, bit, at in runs():
+            for own, i in zip(self.own, at):
+                np.add.at(own, 2 * i.astype(np.int64) + bit, np.float32(1))
+        for _, bit, at in runs():
+            yield self.keys(at, bit, True)
+        for _, bit, at in runs():
+            for own, i in zip(self.own, at):
+                own[2 * i.astype(np.int64) + bit] = 0
+
+    def learn(self, places: np.ndarray, counts: np.ndarray) -> None:
+        """Weights and refining table from the bits counted by place in the grid, places ascending."""
+        levels, step = self.levels
+        k = len(self.counts)
+        at, bit = places >> 1, places & 1
+        cells, of = np.unique(at, return_inverse=True)
+        n1, n = np.bincount(of, counts * bit, len(cells)), np.bincount(of, counts, len(cells))
+        gate, rest = np.divmod(cells, levels**k)
+        x = np.stack([(rest // levels ** (k - 1 - t) % levels - levels // 2) * step for t in range(k)], 1)
+        for g in np.unique(gate).tolist():
+            own = gate == g
+            xs, ns, ones, w = x[own], n[own], n1[own], np.full(k, 1 / k)
+
+            def loss(w: np.ndarray, xs=xs, ns=ns, ones=ones) -> float:
+                dot = xs @ w
+                return float(np.sum(ns * np.logaddexp(0, dot) - ones * dot) + 0.5 * PRIOR * np.sum((w - 1 / k) ** 2))
+
+            least = loss(w)
+            for _ in range(NEWTON):
+                q = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
+                slope = xs.T @ (ones - ns * q) - PRIOR * (w - 1 / k)
+                move = np.linalg.solve((xs * (ns * q * (1 - q))[:, None]).T @ xs + PRIOR * np.eye(k), slope)
+                while (now := loss(w + move)) > least and np.abs(move).max() > 1e-9:
+                    move = move / 2
+                if now > least:
+                    break
+                w, least = w + move, now
+                if np.abs(move).max() < 1e-7:
+                    break
+            self.weights[g] = w.astype(np.float32)
+        dot = np.einsum("ij,ij->i", self.weights[gate].astype(np.float64), x)
+        to = self.cell(dot, gate)
+        self.cells = np.stack([np.bincount(to, n - n1, GATES * CELLS), np.bincount(to, n1, GATES * CELLS)], 1)
+
+
+class Tally:
+    """Counts by place in a grid, kept as sorted distinct places."""
+
+    def __init__(self) -> None:
+        self.held, self.new, self.size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+
+    def add(self, places: np.ndarray) -> None:
+        self.new.append(places)
+        self.size += len(places)
+        if self.size >= 1 << 22:
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counts), places ascending."""
+        if self.new:
+            new, n = np.unique(np.concatenate(self.new), return_counts=True)
+            places, of = np.unique(np.concatenate([self.held[0], new]), return_inverse=True)
+            counts = np.zeros(len(places), np.int64)
+            np.add.at(counts, of, np.concatenate([self.held[1], n]))
+            self.held, self.new, self.size = (places, counts), [], 0
+        return self.held
 
 
 class Ids(dict):
@@ -246,8 +314,8 @@ class Model:
         for t, r, counts in parts:
             n = len(full[t]) >> REGION_BITS
             full[t][r * n : (r + 1) * n] = np.frombuffer(counts, np.float32)
-        self.word_mix = Mixer([self.alone, *full[:2]], (1, 2))
-        self.spell_mix = Mixer(full[2:], (2, 4))
+        self.word_mix = Mixer([self.alone, *full[:2]], (1, 2), LEVELS[0])
+        self.spell_mix = Mixer(full[2:], (2, 4), LEVELS[1])
 
     # chunks -----------------------------------------------------------------
 
@@ -340,18 +408,37 @@ class Model:
 
     # scoring -----------------------------------------------------------------
 
+    def tally(self, texts: list[list[bytes]], into: Tally) -> None:
+        """Count the symbols' bits of some documents in the grid."""
+        c = self.chunk(texts)
+        lo = 0
+        for size in c["sizes"].tolist():
+            own = slice(lo, lo + size)
+            lo += size
+
+            def runs(own=own) -> Iterable:
+                return self.word_bits(c["symbol"][own], c["kind"][own], c["before"][own])
+
+            if size <= BITS_AT_ONCE // 16:  # one run, made once
+                made = list(runs())
+                runs = lambda made=made: made
+            for places in self.word_mix.document_keys(runs):
+                into.add(places)
+
+    def tally_spelling(self, words: list[bytes], into: Tally) -> None:
+        """Count the bits of words that stand behind escapes, each word once, in the grid."""
+        for _, bit, at in self.spell_bits(words):
+            into.add(self.spell_mix.keys(at, bit, False))
+
     def fit(self, texts: Iterator[list[bytes]]) -> None:
-        """Weights and refining tables, from documents in a fixed order."""
-        done = 0
-        for words in texts:
-            c = self.chunk([words])
-            for _, bit, at in self.word_bits(c["symbol"], c["kind"], c["before"]):
-                self.word_mix.fit(at, bit)
-            for _, bit, at in self.spell_bits(c["own"]):
-                self.spell_mix.fit(at, bit)
-            done += len(words) + 1
-            if done >= FIT_TOKENS:
-                break
+        """Weights and refining tables from documents, in one process."""
+        words, spelling, behind = Tally(), Tally(), set()
+        for text in texts:
+            self.tally([text], words)
+            behind.update(w for w in text if w not in self.ids)
+        self.tally_spelling(sorted(behind), spelling)
+        self.word_mix.learn(*words.sums())
+        self.spell_mix.learn(*spelling.sums())
 
     def score(self, c: dict, documents: int) -> np.ndarray:
         """Bits of each text of a chunk, without those of the words behind escapes."""
@@ -464,22 +551,44 @@ def context_counts(docs: DataFrame, counts: DataFrame, shared, salts: int = 1) -
     return parts.repartition("t", "region").mapInArrow(summed, PART).select("t", "region", "n")
 
 
-def fitted(docs: DataFrame, shared) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(weights, cells) of both mixers."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    train = docs.select("text", name.alias("name")).where(F.crc32(F.encode("name", "UTF-8")) % FOLDS != HELD_OUT)
-    first = train.withColumn("o", F.xxhash64("name", "text")).orderBy("o", "name", "text").limit(FIT_DOCUMENTS).select("o", "name", "text")
+def fitted(docs: DataFrame, counts: DataFrame, shared) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weights, cells) of both mixers, from all training documents and all words behind escapes. shared: the broadcast Model with its counts."""
 
-    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in it for r in zip(*(x.to_pylist() for x in b.columns))), key=lambda r: (r[0], r[1], r[2] or ""))
-        m = shared.value
-        m.fit(tokens(r[2]) for r in rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes() for mix in (m.word_mix, m.spell_mix) for x in (mix.weights, mix.cells)], pa.binary())], names=["x"])
+    def rows(tally: Tally, mix: int) -> Iterator[pa.RecordBatch]:
+        places, n = tally.sums()
+        if len(places):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), mix, np.int32)), pa.array(places), pa.array(n)], names=["mix", "place", "n"])
 
-    rows = [np.frombuffer(r.x, np.float64) for r in first.coalesce(1).mapInArrow(fit, "x binary").collect()]
-    if not rows:
+    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for _, texts in chunks(it, True):
+            shared.value.tally(texts, tally)
+        yield from rows(tally, 0)
+
+    def spelling(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for b in it:
+            shared.value.tally_spelling([w for w in b.column(0).to_pylist() if w is not None and w not in shared.value.ids], tally)
+        yield from rows(tally, 1)
+
+    def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held = shared.value, [[x.to_numpy() for x in b.columns] for b in it]
+        mix, places, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+        out = []
+        for i, x in enumerate((m.word_mix, m.spell_mix)):
+            own = np.flatnonzero(mix == i)
+            own = own[np.argsort(places[own])]
+            x.learn(places[own], n[own])
+            out += [x.weights, x.cells]
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes() for x in out], pa.binary())], names=["x"])
+
+    kind = "mix int, place long, n long"
+    counted = docs.select("doc_id", "text").mapInArrow(words, kind).unionByName(counts.select("word").mapInArrow(spelling, kind))
+    grid = counted.groupBy("mix", "place").agg(F.sum("n").alias("n"))  # bounded by the grids
+    found = [np.frombuffer(r.x, np.float64) for r in grid.coalesce(1).mapInArrow(learn, "x binary").collect()]
+    if not found:
         return []
-    return [(w.reshape(GATES, -1).astype(np.float32), c.reshape(-1, 2)) for w, c in (rows[:2], rows[2:])]
+    return [(w.reshape(GATES, -1).astype(np.float32), c.reshape(-1, 2)) for w, c in (found[:2], found[2:])]
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -500,7 +609,7 @@ def scored(docs: DataFrame) -> DataFrame:
     model.load((r.t, r.region, r.n) for r in context_counts(docs, counts, start, -(-total // TOKENS_A_SUM) or 1).collect())  # bounded by the tables' size
     start.unpersist()
     shared = spark.sparkContext.broadcast(model)
-    learnt = fitted(docs, shared)
+    learnt = fitted(docs, counts, shared)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     of = total + kinds + 1
 

@@ -327,6 +327,19 @@ def test_mixed_bits_by_definition(monkeypatch):
         assert g == pytest.approx(slow_bits(m, t, t), rel=1e-3)  # costs are on a grid
 
 
+def test_weights_are_learnt_from_all_training_documents(spark):
+    """The places of the grid count every bit of every training document, also of the 1,001st and later ones."""
+    rows = [(i, words(12, i, 30), "s") for i in range(1500)]
+    train = [mixing_lm.tokens(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    m, c = local_model(train)
+    counts = spark.createDataFrame([(w, n) for w, n in c.items()], "word binary, c long")
+    learnt = mixing_lm.fitted(docs(spark, rows).repartition(7), counts, spark.sparkContext.broadcast(m))
+    bits = sum(int(m.word_tree.length[m.ids.get(w, m.escape)]) for t in train for w in t) + len(train) * int(m.word_tree.length[m.end])
+    assert len(train) > 1000 and learnt[0][1].sum() == bits
+    m.fit(iter(train))
+    assert np.allclose(learnt[0][0], m.word_mix.weights) and (learnt[0][1] == m.word_mix.cells).all()
+
+
 def test_costs_are_those_of_a_distribution():
     texts = [[b"a", b"bb", b"x"], [b"c", b"a", b"bb"], [b"c", b"a", b"bb", b"c"]] * 5
     m, _ = local_model(texts)
