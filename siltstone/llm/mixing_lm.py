@@ -42,10 +42,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +70,13 @@ LEVELS = ((33, 0.5), (15, 1.0))
 NEWTON = 30
 #: How much the weights are held to a plain mean, for gates with few bits: as a count of bits predicted by 1.
 PRIOR = 100.0
-MOST_TOKENS = 1 << 19
+#: Bytes of texts that a task works on at once; a longer text is one piece.
+CHUNK_BYTES = 5 << 19
 #: Tokens whose pairs one task sums at most for a region that holds a third of them, about.
 TOKENS_A_SUM = 1 << 28
 BITS_AT_ONCE = 1 << 18
+#: Places that a tally holds before it sums them, and the largest grid that it keeps whole.
+PLACES_AT_ONCE, WHOLE_GRID = 1 << 19, 1 << 20
 STOP = 256  # the spelling alphabet: bytes, then this
 #: Costs are looked up on a grid of predictions, so that they are the same however bits are batched.
 GRID, EDGE = 256, 24
@@ -89,18 +95,17 @@ class Tree:
             parent[x], parent[y], side[y] = node, node, 1
             heapq.heappush(heap, (a + b, node))
         top = 2 * n - 2
-        nodes, bits, self.length = [], [], np.zeros(n, np.int64)
-        for i in range(n):
-            path, at = [], i
-            while at != top:
-                path.append((parent[at], side[at]))
-                at = parent[at]
-            self.length[i] = len(path)
-            for node, bit in reversed(path):
-                nodes.append(node - n)
-                bits.append(bit)
+        at, steps = np.arange(n), []
+        self.length = np.zeros(n, np.int64)
+        while (live := np.flatnonzero(at != top)).size:  # one step up from every leaf that is still below the root
+            steps.append((live, parent[at[live]] - n, side[at[live]]))
+            self.length[live] += 1
+            at[live] = parent[at[live]]
         self.start = np.cumsum(self.length) - self.length
-        self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
+        self.nodes, self.bits = np.zeros(int(self.length.sum()), np.uint32), np.zeros(int(self.length.sum()), np.uint8)
+        for i, (live, nodes, bits) in enumerate(steps):
+            to = self.start[live] + self.length[live] - 1 - i
+            self.nodes[to], self.bits[to] = nodes, bits
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, node, bit) of every bit of the symbols."""
@@ -136,7 +141,7 @@ class Mixer:
     def __init__(self, counts: list[np.ndarray], special: tuple[int, int], levels: tuple[int, float]) -> None:
         """counts: of 0 and 1 in turn, by slot. special: the predictors whose counts select the gate. levels: the grid to learn on."""
         self.counts, self.special, self.levels = counts, special, levels
-        self.own: list[np.ndarray] = []
+        self.left: list[np.ndarray] = []
         k = len(counts)
         self.weights = np.full((GATES, k), 1.0 / k, np.float32)
         self.cells = np.zeros((GATES * CELLS, 2))
@@ -177,38 +182,43 @@ class Mixer:
         on = np.clip(np.rint(np.where(bit, dot, -dot) * GRID), -GRID * EDGE, GRID * EDGE)
         return self.costs.take(on.astype(np.intp) + GRID * EDGE)
 
-    def keys(self, at: list[np.ndarray], bit: np.ndarray, own: bool) -> np.ndarray:
-        """Places in the grid of bits, predicted without the counts in self.own (of the bits themselves, if not own)."""
+    def keys(self, counts: list[np.ndarray], on: list[np.ndarray], bit: np.ndarray, less: int = 0) -> np.ndarray:
+        """Places in the grid of bits at on (2 * slot + bit in each table), predicted by counts; less: what is taken from each bit's own count."""
         levels, step = self.levels
-        key, total = np.zeros(len(bit), np.int64), {}
-        sign = np.where(bit, np.float32(1 / step), np.float32(-1 / step))
-        for t, (c, i) in enumerate(zip(self.counts, at)):
-            k = 2 * i.astype(np.int64) + bit
-            same, other = c.take(k), c.take(k ^ 1)
-            if own:
-                same, other = same - self.own[t].take(k), np.maximum(other - self.own[t].take(k ^ 1), 0)
-            else:
-                same = same - 1
-            same = np.maximum(same, 0)
-            if t in self.special:
-                total[t] = self.fill(same + other)
-            x = np.rint(np.log((same + np.float32(DELTA)) / (other + np.float32(DELTA))) * sign)
-            key = key * levels + (np.clip(x, -(levels // 2), levels // 2).astype(np.int64) + levels // 2)
-        a, b = (total[t].astype(np.int64) for t in self.special)
-        return ((3 * a + b) * levels ** len(self.counts) + key) * 2 + bit
-
-    def document_keys(self, runs: Callable[[], Iterable]) -> Iterator[np.ndarray]:
-        """Places in the grid of a document's bits, predicted from the counts of all others. runs() gives its (item, bit, slots) again at each call."""
-        if not self.own:
-            self.own = [np.zeros(len(c), np.float32) for c in self.counts]
-        for _, bit, at in runs():
-            for own, i in zip(self.own, at):
-                np.add.at(own, 2 * i.astype(np.int64) + bit, np.float32(1))
-        for _, bit, at in runs():
-            yield self.keys(at, bit, True)
-        for _, bit, at in runs():
-            for own, i in zip(self.own, at):
-                own[2 * i.astype(np.int64) + bit] = 0
+        same, other = (np.empty((len(on), len(bit)), np.float32) for _ in range(2))
+        for t, (c, k) in enumerate(zip(counts, on)):
+            same[t], other[t] = c.take(k), c.take(k ^ 1)
+        same = np.maximum(same - np.float32(less), 0)
+        np.maximum(other, 0, out=other)
+        a, b = (self.fill(same[t] + other[t]).astype(np.int32) for t in self.special)
+        same += np.float32(DELTA)
+        other += np.float32(DELTA)
+        x = np.log(np.divide(same, other, out=same), out=same)
+        x *= np.where(bit, np.float32(1 / step), np.float32(-1 / step))
+        np.clip(np.rint(x, out=x), -(levels // 2), levels // 2, out=x)
+        x += levels // 2
+        key = 3 * a + b
+        for level in x.astype(np.int32):
+            key = key * levels + level
+        return key * 2 + bit
+
+    def document_keys(self, runs: Callable[[], Iterable]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the grid of a document's bits, predicted from the counts of all others, and how often each bit stands there.
+
+        runs() gives its (bit, places in the tables, times) again at each call.
+        The document's bits are taken out of whole counts and put back.
+        """
+        if not self.left:
+            most = max(float(c.max(initial=0)) for c in self.counts)
+            self.left = [c.astype(np.int32 if most < 1 << 30 else np.int64) for c in self.counts]
+        for _, on, times in runs():
+            for c, k in zip(self.left, on):
+                np.subtract.at(c, k, times.astype(c.dtype))
+        for bit, on, times in runs():
+            yield self.keys(self.left, on, bit), times
+        for _, on, times in runs():
+            for c, k in zip(self.left, on):
+                np.add.at(c, k, times.astype(c.dtype))
 
     def learn(self, places: np.ndarray, counts: np.ndarray) -> None:
         """Weights and refining table from the bits counted by place in the grid, places ascending."""
@@ -246,39 +256,69 @@ class Mixer:
 
 
 class Tally:
-    """Counts by place in a grid, kept as sorted distinct places."""
-
-    def __init__(self) -> None:
-        self.held, self.new, self.size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
-
-    def add(self, places: np.ndarray) -> None:
-        self.new.append(places)
+    """Counts by place in a grid: of all places of a small grid, of those seen of a large one."""
+
+    def __init__(self, mixer: Mixer) -> None:
+        levels = mixer.levels[0]
+        self.grid = GATES * levels ** len(mixer.counts) * 2
+        self.new: list[tuple[np.ndarray, np.ndarray | None]] = []
+        self.size, self.whole = 0, np.zeros(self.grid if self.grid <= WHOLE_GRID else 0)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, places: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Without times each place counts once."""
+        self.new.append((places, times))
         self.size += len(places)
-        if self.size >= 1 << 22:
-            self.sums()
+        if self.size >= PLACES_AT_ONCE:
+            self.take()
+
+    def take(self) -> None:
+        """Sum the new places."""
+        new, self.new, self.size = self.new, [], 0
+        places = np.concatenate([p for p, _ in new])
+        times = None if all(t is None for _, t in new) else np.concatenate([np.ones(len(p), np.int64) if t is None else t for p, t in new])
+        if len(self.whole):
+            self.whole += np.bincount(places, times, self.grid)
+            return
+        self.parts.append(np.unique(places, return_counts=True) if times is None else summed_places(places, times))
+        if sum(len(p) for p, _ in self.parts[1:]) >= PLACES_AT_ONCE:
+            self.parts = [summed_places(*(np.concatenate(x) for x in zip(*self.parts)))]
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         """(places, counts), places ascending."""
         if self.new:
-            new, n = np.unique(np.concatenate(self.new), return_counts=True)
-            places, of = np.unique(np.concatenate([self.held[0], new]), return_inverse=True)
-            counts = np.zeros(len(places), np.int64)
-            np.add.at(counts, of, np.concatenate([self.held[1], n]))
-            self.held, self.new, self.size = (places, counts), [], 0
-        return self.held
+            self.take()
+        if len(self.whole):
+            places = np.flatnonzero(self.whole)
+            return places, self.whole[places].astype(np.int64)
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places, counts = summed_places(*(np.concatenate(x) for x in zip(*self.parts)))
+        return places.astype(np.int64), counts.astype(np.int64)
+
 
+def summed_places(places: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places, ascending, and the sums of their times."""
+    order = np.argsort(places)
+    places = places[order]
+    starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])[: len(places)])
+    return places[starts], np.add.reduceat(times[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
-class Ids(dict):
-    """Ids of known words, and further ones for words as they appear."""
 
-    def __init__(self, known: dict[bytes, int], base: int) -> None:
-        super().__init__(known)
-        self.base, self.new = base, []
+class Words(NamedTuple):
+    """The words of some texts, one after the other, and how many each text has."""
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = self.base + len(self.new)
-        self.new.append(word)
-        return i
+    flat: pa.Array
+    sizes: np.ndarray
+
+
+def split(texts: pa.Array) -> Words:
+    """Words of texts, lower-cased in A-Z; null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    word = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty string there
+    owner = np.repeat(np.arange(len(sizes)), sizes)[word.to_numpy(zero_copy_only=False)]
+    return Words(flat.filter(word).cast(pa.binary()), np.bincount(owner, minlength=len(sizes)))
 
 
 def table_bits(tokens: int) -> int:
@@ -290,8 +330,7 @@ class Model:
     """The vocabulary, both trees and both mixers."""
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, documents: int) -> None:
-        self.words, self.counts = words, np.array(counts, np.float64)
-        self.ids = {w: i for i, w in enumerate(words)}
+        self.vocabulary, self.counts = pa.array(words, pa.binary()), np.array(counts, np.float64)
         self.end, self.escape = len(words), len(words) + 1
         self.symbols = self.escape + 1
         self.total, self.documents = total, documents
@@ -304,6 +343,19 @@ class Model:
         item, node, bit = self.word_tree.expand(np.arange(self.symbols))
         self.alone = np.bincount(2 * node.astype(np.int64) + bit, np.array(weights, np.float64)[item], 2 * self.symbols).astype(np.float32)
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.vocabulary.to_pylist()
+
+    @cached_property
+    def ids(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
+    def behind(self, words: pa.Array) -> list[bytes]:
+        """Those of words that stand behind the escape."""
+        words = words.drop_null()
+        return words.filter(pc.is_null(pc.index_in(words, value_set=self.vocabulary))).to_pylist()
+
     def sizes(self) -> list[int]:
         """Bits of the tables that tasks count: by class, by word before, and those of the spelling."""
         return [self.bits, self.bits, *SPELL_BITS]
@@ -319,35 +371,43 @@ class Model:
 
     # chunks -----------------------------------------------------------------
 
-    def chunk(self, texts: list[list[bytes]]) -> dict:
+    def chunk(self, texts: Words | list[list[bytes]]) -> dict:
         """Tokens of some documents: ids, the symbol, class and word before of each, and the words behind escapes."""
-        seen = Ids(self.ids, self.symbols)
-        sizes = np.array([len(w) + 1 for w in texts], np.int64)
+        if isinstance(texts, list):
+            texts = Words(pa.array(list(chain.from_iterable(texts)), pa.binary()), np.array([len(w) for w in texts], np.int64))
+        found = pc.index_in(texts.flat, value_set=self.vocabulary)
+        rare = found.is_null()
+        own = texts.flat.filter(rare).dictionary_encode()
+        known = found.fill_null(0).to_numpy().astype(np.int64)
+        known[rare.to_numpy(zero_copy_only=False)] = own.indices.to_numpy() + np.int64(self.symbols)
+        sizes = texts.sizes + 1
         ids = np.full(int(sizes.sum()), self.end, np.int64)
         inner = np.ones(len(ids), bool)
         inner[np.cumsum(sizes) - 1] = False
-        ids[inner] = np.fromiter(map(seen.__getitem__, chain.from_iterable(texts)), np.int64, len(ids) - len(sizes))
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        ids[inner] = known
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), sizes)
         low = ids < min(CLASSES, self.end)
-        common = np.bincount(doc[low] * CLASSES + ids[low], minlength=len(texts) * CLASSES).reshape(len(texts), CLASSES)
+        common = np.bincount(doc[low] * CLASSES + ids[low], minlength=n * CLASSES).reshape(n, CLASSES)
         symbol = np.minimum(ids, self.escape)
         before = np.empty_like(symbol)
         before[1:] = symbol[:-1]
         before[np.cumsum(sizes) - sizes] = self.end
-        return {"doc": doc, "ids": ids, "symbol": symbol, "kind": common.argmax(1)[doc], "before": before, "own": seen.new, "sizes": sizes}
+        return {"doc": doc, "ids": ids, "symbol": symbol, "kind": common.argmax(1)[doc], "before": before, "own": own.dictionary, "sizes": sizes}
 
     @staticmethod
     def contexts(kind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (kind.astype(np.uint32) + np.uint32(1)) * np.uint32(0x01000193), (before.astype(np.uint32) + np.uint32(101)) * np.uint32(0x27D4EB2F)
 
-    def word_bits(self, symbol: np.ndarray, kind: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    def word_bits(self, symbol: np.ndarray, kind: np.ndarray | np.integer, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
         """(item, bit, slots) for runs of items."""
         step = max(1, BITS_AT_ONCE // 16)
         for lo in range(0, len(symbol), step):
             own = slice(lo, lo + step)
             item, node, bit = self.word_tree.expand(symbol[own])
-            c1, c2 = self.contexts(kind[own], before[own])
-            yield item + lo, bit, [node, *(whole_slots(c[item], node, self.bits) for c in (c1, c2))]
+            c1, c2 = self.contexts(kind[own] if np.ndim(kind) else kind, before[own])
+            c1 = c1[item] if np.ndim(kind) else np.full(len(item), c1)
+            yield item + lo, bit, [node, *(whole_slots(c, node, self.bits) for c in (c1, c2[item]))]
 
     def spell_bits(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
         """(word, bit, slots) for runs of words."""
@@ -383,7 +443,7 @@ class Model:
 
     # counting -----------------------------------------------------------------
 
-    def pairs(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def pairs(self, texts: Words | list[list[bytes]]) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(table, region, (context, symbol) as one number, counts) of some documents."""
         c = self.chunk(texts)
         for t, context in enumerate((c["kind"], c["before"])):
@@ -408,31 +468,34 @@ class Model:
 
     # scoring -----------------------------------------------------------------
 
-    def tally(self, texts: list[list[bytes]], into: Tally) -> None:
+    def tally(self, texts: Words | list[list[bytes]], into: Tally) -> None:
         """Count the symbols' bits of some documents in the grid."""
         c = self.chunk(texts)
-        lo = 0
-        for size in c["sizes"].tolist():
-            own = slice(lo, lo + size)
-            lo += size
-
-            def runs(own=own) -> Iterable:
-                return self.word_bits(c["symbol"][own], c["kind"][own], c["before"][own])
-
-            if size <= BITS_AT_ONCE // 16:  # one run, made once
+        kinds = c["kind"][np.cumsum(c["sizes"]) - c["sizes"]]
+        pairs, times = np.unique((c["doc"] * self.symbols + c["before"]) * self.symbols + c["symbol"], return_counts=True)
+        rest, symbol = np.divmod(pairs, self.symbols)
+        doc, before = np.divmod(rest, self.symbols)
+        edges = np.searchsorted(doc, np.arange(len(kinds) + 1))
+        for kind, lo, hi in zip(kinds, edges[:-1].tolist(), edges[1:].tolist()):
+
+            def runs(own=slice(lo, hi), kind=kind) -> Iterable:
+                for item, bit, at in self.word_bits(symbol[own], kind, before[own]):
+                    yield bit, [2 * i.astype(np.int64) + bit for i in at], times[own][item]
+
+            if hi - lo <= BITS_AT_ONCE // 16:  # one run, made once
                 made = list(runs())
                 runs = lambda made=made: made
-            for places in self.word_mix.document_keys(runs):
-                into.add(places)
+            for places, n in self.word_mix.document_keys(runs):
+                into.add(places, n)
 
     def tally_spelling(self, words: list[bytes], into: Tally) -> None:
-        """Count the bits of words that stand behind escapes, each word once, in the grid."""
+        """Count the bits of words that stand behind escapes, each word once, in the grid. Each bit is taken out of its own prediction."""
         for _, bit, at in self.spell_bits(words):
-            into.add(self.spell_mix.keys(at, bit, False))
+            into.add(self.spell_mix.keys(self.spell_mix.counts, [2 * i.astype(np.int64) + bit for i in at], bit, 1))
 
     def fit(self, texts: Iterator[list[bytes]]) -> None:
         """Weights and refining tables from documents, in one process."""
-        words, spelling, behind = Tally(), Tally(), set()
+        words, spelling, behind = Tally(self.word_mix), Tally(self.spell_mix), set()
         for text in texts:
             self.tally([text], words)
             behind.update(w for w in text if w not in self.ids)
@@ -471,22 +534,30 @@ def fold(doc_id) -> int:
     return zlib.crc32(str("null" if doc_id is None else doc_id).encode()) % FOLDS
 
 
-def chunks(it: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(ids, words) of documents, in chunks of about MOST_TOKENS tokens."""
-    ids, texts, n = [], [], 0
+def chunks(it: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tuple[list, Words]]:
+    """(ids, words) of documents, in chunks of about CHUNK_BYTES bytes."""
+    ids, parts, n = [], [], 0
     for b in it:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            if train_only and fold(i) == HELD_OUT:
-                continue
-            words = tokens(t.as_py())
-            ids.append(i)
-            texts.append(words)
-            n += len(words) + 1
-            if n >= MOST_TOKENS:
-                yield ids, texts
-                ids, texts, n = [], [], 0
+        own, texts = b.column(0).to_pylist(), b.column(1)
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + 1
+        if train_only:
+            rows = [r for r, i in enumerate(own) if fold(i) != HELD_OUT]
+            own, size = [own[r] for r in rows], size[rows]
+        else:
+            rows = None
+        ends, lo = np.cumsum(size), 0
+        while lo < len(own):
+            done = int(ends[lo] - size[lo])
+            hi = min(len(own), int(np.searchsorted(ends, done + CHUNK_BYTES - n)) + 1)
+            parts.append(texts.slice(lo, hi - lo) if rows is None else texts.take(pa.array(rows[lo:hi])))
+            ids += own[lo:hi]
+            n += int(ends[hi - 1]) - done
+            lo = hi
+            if n >= CHUNK_BYTES:
+                yield ids, split(pa.concat_arrays(parts))
+                ids, parts, n = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, split(pa.concat_arrays(parts))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -495,9 +566,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents = 0
         for ids, texts in chunks(it, True):
-            found = Counter(chain.from_iterable(texts))
+            found = pc.value_counts(texts.flat)
             documents += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([documents], pa.int64())], names=["word", "c"])
 
     return docs.select("doc_id", "text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -522,8 +593,7 @@ def context_counts(docs: DataFrame, counts: DataFrame, shared, salts: int = 1) -
         m = shared.value
         sums = [np.zeros(2 << b) for b in SPELL_BITS]
         for b in it:
-            words = [w for w in b.column(0).to_pylist() if w is not None and w not in m.ids]
-            for _, bit, at in m.spell_bits(words):
+            for _, bit, at in m.spell_bits(m.behind(b.column(0))):
                 for x, i in zip(sums, at):
                     x += np.bincount(2 * i.astype(np.int64) + bit, minlength=len(x))
         for t, x in enumerate(sums):
@@ -560,15 +630,15 @@ def fitted(docs: DataFrame, counts: DataFrame, shared) -> list[tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), mix, np.int32)), pa.array(places), pa.array(n)], names=["mix", "place", "n"])
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(shared.value.word_mix)
         for _, texts in chunks(it, True):
             shared.value.tally(texts, tally)
         yield from rows(tally, 0)
 
     def spelling(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(shared.value.spell_mix)
         for b in it:
-            shared.value.tally_spelling([w for w in b.column(0).to_pylist() if w is not None and w not in shared.value.ids], tally)
+            shared.value.tally_spelling(shared.value.behind(b.column(0)), tally)
         yield from rows(tally, 1)
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -621,6 +691,7 @@ def scored(docs: DataFrame) -> DataFrame:
         for mix in (m.word_mix, m.spell_mix):
             if mix.ready is None:
                 mix.fix()
+            mix.counts, mix.left = [], []  # scoring looks up what fix() made of them
         row = TaskContext.get().partitionId() << 33
         names = ["row", "doc_id", "n_tokens", "n_known", "base", "bits", "bytes", "word", "n", "spelt"]
         value = np.log10((np.concatenate([m.counts, [m.documents, 0]]) + 1) / of)
@@ -635,13 +706,15 @@ def scored(docs: DataFrame) -> DataFrame:
         none = pa.nulls
         for b_ids, texts in chunks(typed(it), False):
             c = m.chunk(texts)
-            n = len(texts)
+            n = len(b_ids)
             bits = m.score(c, n)
             rare = c["symbol"] == m.escape
             common = ~rare
             known = np.bincount(c["doc"][common], np.where(c["ids"][common] == m.end, m.documents > 0, True), n).astype(np.int64)
             base = np.bincount(c["doc"][common], value[c["ids"][common]], n)
-            sizes = np.array([sum(map(len, w)) + len(w) for w in texts], np.int64)
+            lengths = np.append(0, np.cumsum(pc.binary_length(texts.flat).to_numpy().astype(np.int64) + 1))
+            ends = np.cumsum(texts.sizes)
+            sizes = lengths[ends] - lengths[ends - texts.sizes]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + row), pa.array(b_ids, id_type), pa.array(c["sizes"]), pa.array(known), pa.array(base), pa.array(bits), pa.array(sizes), none(n, pa.binary()), none(n, pa.int64()), none(n, pa.float64())], names=names)
             pairs, times = np.unique((c["ids"][rare] - m.symbols) * n + c["doc"][rare], return_counts=True)
             # words of training documents are known; only those of held-out ones may have to be spelled
@@ -649,13 +722,13 @@ def scored(docs: DataFrame) -> DataFrame:
             held = np.array([fold(i) == HELD_OUT for i in b_ids])
             spell = np.unique(word[held[owner]])
             cost = np.full(len(c["own"]), np.nan)
-            cost[spell] = m.spelling([c["own"][i] for i in spell.tolist()])
+            cost[spell] = m.spelling(c["own"].take(pa.array(spell)).to_pylist())
             for lo in range(0, len(pairs), 1 << 16):
                 own = slice(lo, lo + (1 << 16))
                 w = word[own]
                 k = len(w)
                 x = cost[w]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[own] + row), none(k, id_type), *[none(k, pa.int64())] * 2, *[none(k, pa.float64())] * 2, none(k, pa.int64()), pa.array([c["own"][i] for i in w.tolist()], pa.binary()), pa.array(times[own]), pa.array(x, mask=np.isnan(x))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[own] + row), none(k, id_type), *[none(k, pa.int64())] * 2, *[none(k, pa.float64())] * 2, none(k, pa.int64()), c["own"].take(pa.array(w)), pa.array(times[own]), pa.array(x, mask=np.isnan(x))], names=names)
             row += n
 
     made = written(docs.select("doc_id", "text").mapInArrow(results, f"row long, doc_id {doc_type}, n_tokens long, n_known long, base double, bits double, bytes long, word binary, n long, spelt double"))
