@@ -553,6 +553,32 @@ def test_limits_by_brute_force(spark):
                 assert x.max_perplexity == pytest.approx(want) and x.kept == (x.perplexity <= x.max_perplexity)
 
 
+def test_all_trusted_rows_are_trained_on(spark):
+    """Also the 1,501st and later ones of a language, and those of more than 20,000 characters."""
+    rows = [(i, "a b", "s") for i in range(2100)] + [(3000 + i, "long " * 5000, "s") for i in range(10)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] % 100 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    ids = [r[0] for r in kneser_ney.trusted_rows(docs(spark, rows), labels).select("doc_id").collect()]
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(kneser_ney.HOLD_OUT)) != 0
+    want = [r.doc_id for r in labels.where(fold & (F.col("toxic") == 0)).collect()]
+    assert sorted(ids) == sorted(want) and sum(i < 3000 for i in ids) > 1500 and max(ids) >= 3000
+
+
+def test_rare_words_meet_their_weights_in_shards(spark, monkeypatch):
+    train = [words(30, i, 50) for i in range(20)]
+    p = slow_kneser_ney(train)
+    monkeypatch.setattr(kneser_ney, "HOT", 3)
+    monkeypatch.setattr(kneser_ney, "SHARD_KEYS", 16)
+    monkeypatch.setattr(kneser_ney, "TOKENS", 40)
+    tables = kneser_ney.model(spark.createDataFrame([("en", t) for t in train], "lang string, text string").repartition(3))
+    assert tables["one"].count() == 3 and tables["bits"] > kneser_ney.SHARD_BITS
+    texts = [words(20, 500 + i, 70) for i in range(40)]
+    got = kneser_ney.scores(spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"), tables).collect()
+    for r in got:
+        w = [1, 1, *texts[r.doc_id].split(), 2]
+        assert math.log10(r.perplexity) == pytest.approx(-sum(math.log10(p(*g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2), rel=1e-5)
+    assert len(got) == 40
+
+
 def test_further_languages_share_a_model(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "LANGUAGES", 1)
     df = spark.createDataFrame([(i, words(30, i, 20), "en" if i < 60 else f"l{i % 7}") for i in range(100)], "doc_id long, text string, lang string")
