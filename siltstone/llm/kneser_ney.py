@@ -15,8 +15,8 @@ known adds up to p3, of one whose 2-gram is known to b3 + p2, of any other to
 b3 + b2 + p1. So one table of weights by n-gram is joined with the n-grams of
 the documents, in shards by the hash of the n-gram, and the products of weight
 and count are summed by document: its perplexity is 10 ** (-sum / tokens).
-The weights of the HOT most frequent words and a bitmap of all other n-grams, of
-2 ** MOST_WIDTH bits at most, travel to the executors, so that the n-grams which
+The weights of the HOT words with most different words before them and a bitmap
+of all other n-grams, of 2 ** MOST_WIDTH bits at most, travel to the executors, so that the n-grams which
 the model can't hold are not shuffled; all others meet their weights in the
 join, packed by shard. Shards grow in number with the model, so that a task
 holds about SHARD_KEYS weights of it. Keys are whole 64-bit hashes.
@@ -191,7 +191,7 @@ def discount(c: Column, order: str = "") -> Column:
 
 
 def model(rows: DataFrame) -> dict[str, DataFrame]:
-    """one (key, value): weights of the HOT most frequent words; more (shard, keys, at): those of all other n-grams, packed; unseen (lang, value); bits: of the shards."""
+    """one (key, value): weights of the HOT words with the highest counts; more (shard, keys, at): those of all other n-grams, packed; unseen (lang, value); bits: of the shards."""
     base = written(counted(trigrams(rows)))
     c1 = written(base.where("first_vw").groupBy("lang", "w").agg(F.count("*").alias("c")))
     sums = c1.join(F.broadcast(discounts(c1)), "lang")  # one row per language, LANGUAGES + 1 at most
