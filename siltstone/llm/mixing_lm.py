@@ -75,6 +75,8 @@ CHUNK_BYTES = 5 << 19
 #: Tokens whose pairs one task sums at most for a region that holds a third of them, about.
 TOKENS_A_SUM = 1 << 28
 BITS_AT_ONCE = 1 << 18
+#: Bits whose places in a grid are made at a time, so that all of it stays in a cache.
+AT_A_TIME = 1 << 13
 #: Places that a tally holds before it sums them, and the largest grid that it keeps whole.
 PLACES_AT_ONCE, WHOLE_GRID = 1 << 19, 1 << 20
 STOP = 256  # the spelling alphabet: bytes, then this
@@ -116,9 +118,17 @@ class Tree:
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
+    return mix(x.copy())
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """mixed_bits in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def region(context: np.ndarray) -> np.ndarray:
@@ -135,6 +145,24 @@ def whole_slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return (region(context) << np.uint32(bits - REGION_BITS)) | slots(context, node, bits)
 
 
+def item_slots(contexts: list[np.ndarray], item: np.ndarray, node: np.ndarray, bits: list[int]) -> list[np.ndarray]:
+    """whole_slots of the items' contexts in each table; regions are drawn once for each item, not for each of its bits."""
+    turned, item, out = node * np.uint32(0x9E3779B1), item.astype(np.intp), []
+    for context, b in zip(contexts, bits):
+        at = context.take(item)
+        at ^= turned
+        at = mix(at)
+        at >>= np.uint32(32 + REGION_BITS - b)
+        at |= (region(context) << np.uint32(b - REGION_BITS)).take(item)
+        out.append(at)
+    return out
+
+
+def paired(counts: np.ndarray) -> np.ndarray:
+    """Counts of 0 and 1 in turn, each two as one item, to be fetched at once."""
+    return counts.view(np.dtype((np.void, 2 * counts.itemsize)) if counts.itemsize > 4 else np.int64)
+
+
 class Mixer:
     """Count tables over one alphabet, their gated weights and the refining table."""
 
@@ -184,10 +212,19 @@ class Mixer:
 
     def keys(self, counts: list[np.ndarray], on: list[np.ndarray], bit: np.ndarray, less: int = 0) -> np.ndarray:
         """Places in the grid of bits at on (2 * slot + bit in each table), predicted by counts; less: what is taken from each bit's own count."""
+        return self.grid_keys([paired(c).take(k >> 1).view(c.dtype) for c, k in zip(counts, on)], bit, less)
+
+    def grid_keys(self, seen: list[np.ndarray], bit: np.ndarray, less: int = 0) -> np.ndarray:
+        """Places in the grid of bits that have these counts of 0 and 1, in turn, in each table."""
         levels, step = self.levels
-        same, other = (np.empty((len(on), len(bit)), np.float32) for _ in range(2))
-        for t, (c, k) in enumerate(zip(counts, on)):
-            same[t], other[t] = c.take(k), c.take(k ^ 1)
+        if len(bit) > AT_A_TIME:
+            cuts = range(0, len(bit), AT_A_TIME)
+            return np.concatenate([self.grid_keys([c[2 * lo : 2 * (lo + AT_A_TIME)] for c in seen], bit[lo : lo + AT_A_TIME], less) for lo in cuts])
+        same, other = (np.empty((len(seen), len(bit)), np.float32) for _ in range(2))
+        on = bit.astype(bool)
+        for t, c in enumerate(seen):
+            zero, one = c[0::2].astype(np.float32), c[1::2].astype(np.float32)
+            same[t], other[t] = np.where(on, one, zero), np.where(on, zero, one)
         same = np.maximum(same - np.float32(less), 0)
         np.maximum(other, 0, out=other)
         a, b = (self.fill(same[t] + other[t]).astype(np.int32) for t in self.special)
@@ -202,15 +239,34 @@ class Mixer:
             key = key * levels + level
         return key * 2 + bit
 
+    def whole(self) -> None:
+        """Make the whole counts that a document's bits are taken out of, if they aren't made yet."""
+        if not self.left:
+            most = max(float(c.max(initial=0)) for c in self.counts)
+            self.left = [c.astype(np.int32 if most < 1 << 30 else np.int64) for c in self.counts]
+
+    def documents_keys(self, bit: np.ndarray, on: list[np.ndarray], times: np.ndarray, edges: list[int]) -> np.ndarray:
+        """As document_keys, of several documents at once, whose bits lie between edges."""
+        self.whole()
+        seen = []
+        for c, k in zip(self.left, on):
+            times = times.astype(c.dtype, copy=False)
+            away, slot, pairs = -times, k >> 1, paired(c)
+            found = np.empty(len(k), pairs.dtype)
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                np.add.at(c, k[lo:hi], away[lo:hi])
+                np.take(pairs, slot[lo:hi], out=found[lo:hi], mode="clip")
+                np.add.at(c, k[lo:hi], times[lo:hi])
+            seen.append(found.view(c.dtype))
+        return self.grid_keys(seen, bit)
+
     def document_keys(self, runs: Callable[[], Iterable]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in the grid of a document's bits, predicted from the counts of all others, and how often each bit stands there.
 
         runs() gives its (bit, places in the tables, times) again at each call.
         The document's bits are taken out of whole counts and put back.
         """
-        if not self.left:
-            most = max(float(c.max(initial=0)) for c in self.counts)
-            self.left = [c.astype(np.int32 if most < 1 << 30 else np.int64) for c in self.counts]
+        self.whole()
         for _, on, times in runs():
             for c, k in zip(self.left, on):
                 np.subtract.at(c, k, times.astype(c.dtype))
@@ -405,9 +461,8 @@ class Model:
         for lo in range(0, len(symbol), step):
             own = slice(lo, lo + step)
             item, node, bit = self.word_tree.expand(symbol[own])
-            c1, c2 = self.contexts(kind[own] if np.ndim(kind) else kind, before[own])
-            c1 = c1[item] if np.ndim(kind) else np.full(len(item), c1)
-            yield item + lo, bit, [node, *(whole_slots(c, node, self.bits) for c in (c1, c2[item]))]
+            c1, c2 = self.contexts(kind[own] if np.ndim(kind) else np.full(len(symbol[own]), kind), before[own])
+            yield item + lo, bit, [node, *item_slots([c1, c2], item, node, [self.bits] * 2)]
 
     def spell_bits(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
         """(word, bit, slots) for runs of words."""
@@ -438,7 +493,7 @@ class Model:
             sums = np.cumsum(drawn.astype(np.uint64)) - drawn
             contexts.append((sums - sums[last + 1 - size][owner]).astype(np.uint32) ^ np.uint32(0x5BD1E995))
             item, node, bit = self.byte_tree.expand(symbol)
-            yield owner[item] + lo, bit, [whole_slots(c[item], node, b) for c, b in zip(contexts, SPELL_BITS)]
+            yield owner[item] + lo, bit, item_slots(contexts, item, node, SPELL_BITS)
             lo = hi
 
     # counting -----------------------------------------------------------------
@@ -476,17 +531,23 @@ class Model:
         rest, symbol = np.divmod(pairs, self.symbols)
         doc, before = np.divmod(rest, self.symbols)
         edges = np.searchsorted(doc, np.arange(len(kinds) + 1))
-        for kind, lo, hi in zip(kinds, edges[:-1].tolist(), edges[1:].tolist()):
+        most, first = BITS_AT_ONCE // 16, 0
+        while first < len(kinds):
+            lo = int(edges[first])
+            last = max(first + 1, int(np.searchsorted(edges, lo + most, "right")) - 1)  # as many documents as one run of bits holds
+            own = slice(lo, int(edges[last]))
 
-            def runs(own=slice(lo, hi), kind=kind) -> Iterable:
+            def runs(own=own, kind=np.repeat(kinds[first:last], np.diff(edges[first : last + 1]))) -> Iterable:
                 for item, bit, at in self.word_bits(symbol[own], kind, before[own]):
-                    yield bit, [2 * i.astype(np.int64) + bit for i in at], times[own][item]
-
-            if hi - lo <= BITS_AT_ONCE // 16:  # one run, made once
-                made = list(runs())
-                runs = lambda made=made: made
-            for places, n in self.word_mix.document_keys(runs):
-                into.add(places, n)
+                    yield item, bit, [2 * i.astype(np.int64) + bit for i in at], times[own].take(item)
+
+            if own.stop - lo <= most:
+                for item, bit, on, n in runs():
+                    into.add(self.word_mix.documents_keys(bit, on, n, np.searchsorted(item, edges[first : last + 1] - lo).tolist()), n)
+            else:  # one document of several runs
+                for places, n in self.word_mix.document_keys(lambda runs=runs: (x[1:] for x in runs())):
+                    into.add(places, n)
+            first = last
 
     def tally_spelling(self, words: list[bytes], into: Tally) -> None:
         """Count the bits of words that stand behind escapes, each word once, in the grid. Each bit is taken out of its own prediction."""

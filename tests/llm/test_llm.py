@@ -693,3 +693,27 @@ BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
 def test_pages_of_other_shapes(page, want):
     got = html_text.main_text(page)
     assert want is None or got == "\n".join(want)
+
+
+def test_tally_takes_documents_together(monkeypatch):
+    """Short documents share a run of bits, and each still meets the counts of all others only."""
+    train = [mixing_lm.tokens(words(30 + i % 7, i, 50)) for i in range(60)] + [[], mixing_lm.tokens(words(900, 99, 400))]
+    m, _ = local_model(train)
+    asked = []
+    real = mixing_lm.Model.word_bits
+    monkeypatch.setattr(mixing_lm.Model, "word_bits", lambda self, *x: asked.append(1) or real(self, *x))
+    together, apart = mixing_lm.Tally(m.word_mix), mixing_lm.Tally(m.word_mix)
+    m.tally(train, together)
+    assert len(asked) == 1
+    for text in train:
+        m.tally([text], apart)
+    monkeypatch.setattr(mixing_lm, "BITS_AT_ONCE", 1 << 11)  # the long text takes several runs
+    split = mixing_lm.Tally(m.word_mix)
+    m.tally(train, split)
+    monkeypatch.setattr(mixing_lm, "AT_A_TIME", 100)
+    small = mixing_lm.Tally(m.word_mix)
+    m.tally(train, small)
+    whole = [x.tolist() for x in together.sums()]
+    for x in (apart, split, small):
+        assert [y.tolist() for y in x.sums()] == whole
+    assert all((c == d).all() for c, d in zip(m.word_mix.counts, m.word_mix.left))
