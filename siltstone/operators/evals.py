@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,17 +24,84 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
 
 
-def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
-    """df with the distinct hashes of all runs of k words, of all words where there are fewer.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers spread over all 64 bits, one to one."""
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A number for each byte at each of the first 64 places of a word; later places are mixed when they come up.
+BYTES = _mixed(np.arange(1, (64 << 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _shingles(raw: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of texts that end at `ends` of raw, sorted in each text, and their number in each."""
+    lows = np.concatenate([[0], ends[:-1]])
+    word = ~BLANK[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begun = lows[lows < ends]
+    first[begun] = word[begun]
+    at, place = np.flatnonzero(first), np.flatnonzero(word)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    x = ((place - at[np.cumsum(first)[place] - 1]) << 8) | raw[place]
+    v = BYTES[np.minimum(x, len(BYTES) - 1)]
+    far = x >= len(BYTES)
+    v[far] = _mixed((x[far].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    w = _mixed(np.add.reduceat(v, np.flatnonzero(first[place])))
+    doc = np.searchsorted(ends, at, "right")
+    n = np.bincount(doc, minlength=len(ends))
+    odd = _mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    runs = max(0, len(w) - k + 1)
+    g = np.zeros(runs, np.uint64)
+    for j in range(k):
+        g += w[j : j + runs] * odd[j]
+    whole = doc[:runs] == doc[k - 1 :] if runs else np.zeros(0, bool)
+    g, own = _mixed(g[whole]), doc[:runs][whole]
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        lo = np.cumsum(n) - n
+        more = np.array([np.sum(w[lo[i] : lo[i] + n[i]] * odd[: n[i]]) + np.uint64(n[i]) for i in short], np.uint64)
+        g, own = np.concatenate([g, _mixed(more)]), np.concatenate([own, short])
+        order = np.argsort(own, kind="stable")
+        g, own = g[order], own[order]
+    n = np.bincount(own, minlength=len(ends))
+    for lo, hi in zip(np.cumsum(n) - n, np.cumsum(n)):
+        g[lo:hi].sort()
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
+    return g[new], np.bincount(own[new], minlength=len(ends))
+
+
+#: Bytes of text that are shingled at once.
+TEXT_AT_ONCE = 1 << 22
 
-    The words are a column of their own: inside a lambda an expression would be computed for every element.
-    """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size("_words")
-    grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("_words", i, k)))
-    short = F.when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.array_distinct(F.when(n >= k, grams).otherwise(short))).drop("_words")
+
+def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
+    """df with the distinct hashes of all runs of k lower-case words, of all words where there are fewer, in place of the text."""
+    rest = [c for c in df.columns if c != text]
+
+    def shingle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(len(rest)).cast(pa.large_binary())
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, lo = np.cumsum(size), 0
+            while lo < len(size):
+                done = ends[lo] - size[lo]
+                hi = max(lo + 1, int(np.searchsorted(ends, done + TEXT_AT_ONCE, "right")))
+                own = texts.slice(lo, hi - lo)
+                begin = int(np.frombuffer(own.buffers()[1], np.int64)[own.offset])
+                raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)[begin : begin + ends[hi - 1] - done]
+                g, n = _shingles(raw, ends[lo:hi] - done, k)
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(g.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(lo, hi - lo) for i in range(len(rest))], sets], names=[*rest, out])
+                lo = hi
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(*rest, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(shingle, f"{kinds}, `{out}` array<bigint>")
 
 
 #: Sets that hold a shingle beyond which it comes late in the order of the prefix filter.
@@ -44,6 +112,10 @@ LATE = 1 << 20
 SHARDS, REST, AT_ONCE = 1024, 30, 1 << 20
 #: Up to so many ids are broadcast.
 BROADCAST = 1_000_000
+#: Items that hold a shingle beyond which those that meet by it are compared in blocks, so many items in a block, and hashes in it about.
+HOT, BLOCK, BLOCK_HASHES = 64, 1024, 1 << 20
+#: Items of a block that hold a shingle beyond which it is a column of a matrix product, and columns of a product.
+DENSE, COLUMNS = 8, 4096
 
 
 def picked(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -52,13 +124,22 @@ def picked(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text): each different text once, under its least key. Only digests are shuffled, and texts whose least key stands twice."""
-    named = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("_t", F.xxhash64("text"))
+    """(id, text): each different text once, under its least key. Only digests are shuffled, texts where both the kept and the left out rows are many, or a least key stands twice.
+
+    Rows without a key are left out. Of kept and left out rows, the fewer are sent to the texts.
+    """
+    named = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).where("id IS NOT NULL").withColumn("_t", F.xxhash64("text"))
     digests = named.select("id", "_t", F.unhex(F.sha2("text", 256)).alias("_d")).groupBy("_d", "_t", "id").agg(F.count("*").alias("c"))
-    first = stored(digests.groupBy("_d").agg(F.min(F.struct("id", "_t", "c")).alias("f")).select("f.id", "f._t", "f.c"))
-    once = picked(named, first.where(F.col("c") == 1).select("id", "_t"), ["id", "_t"]).select("id", "text")
-    more = first.where(F.col("c") > 1).select("id", "_t")
-    return once if more.isEmpty() else once.unionByName(picked(named, more, ["id", "_t"]).select("id", "text").dropDuplicates())
+    rows = stored(digests.select("id", "_t", "c", (F.min("id").over(Window.partitionBy("_d")) == F.col("id")).alias("kept")))
+    n = {r.kind: r["count"] for r in rows.groupBy(F.when(~F.col("kept"), "left").when(F.col("c") > 1, "more").otherwise("once").alias("kind")).count().collect()}
+    more = rows.where(F.col("kept") & (F.col("c") > 1)).select("id", "_t")
+    if n.get("once", 0) <= n.get("left", 0) + n.get("more", 0):
+        once = picked(named, rows.where(F.col("kept") & (F.col("c") == 1)).select("id", "_t"), ["id", "_t"])
+    else:
+        left = rows.where(~F.col("kept") | (F.col("c") > 1)).select("id", "_t")
+        once = named.join(F.broadcast(left) if n.get("left", 0) + n.get("more", 0) <= BROADCAST else left, ["id", "_t"], "left_anti")
+    once = once.select("id", "text")
+    return once.unionByName(picked(named, more, ["id", "_t"]).select("id", "text").dropDuplicates()) if n.get("more") else once
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -124,10 +205,25 @@ def common_shingles(items: DataFrame) -> DataFrame:
 
 
 def meeting(items: DataFrame, least: float, days: int | None) -> DataFrame:
-    """(id, id2), id < id2, of items (id, day, h) that share a shingle of their prefixes and fit in size and day; pairs may stand several times."""
+    """(hot, id, id2, c, need) of items (id, day, h). Two that overlap by more than `least` stand in a row (false, id, id2), id < id2, or share an id2 in rows (true, id, id2, size).
+
+    Two such sets share s = 1 + n / 20 of their first n - ceil(least * n) + s
+    shingles, n the smaller set. Those that no more than HOT hold make pairs,
+    which need s of them. Holders of a common one are named by its leader, the
+    holder of fewest rare shingles, so that most shingles of a group have one
+    leader, and nothing is paired. An item with few common ones sends none;
+    its pairs need fewer of the others instead.
+    """
     late = stored(common_shingles(items)).orderBy(F.desc("c"), "k").limit(LATE).toArrow().sort_by("k")
     sent = items.sparkSession.sparkContext.broadcast((late.column(0).to_numpy(), late.column(1).to_numpy()))
 
+    def shared(n: np.ndarray) -> np.ndarray:
+        return np.minimum(1 + n // 20, np.ceil(n * least).astype(np.int64))
+
+    def few(n: np.ndarray) -> np.ndarray:
+        """Up to so many common shingles count as few: under what any partner must share."""
+        return shared(np.ceil(n * least).astype(np.int64)) // 2
+
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = sent.value
         for rows, n, h in _pieces(it):
@@ -137,51 +233,164 @@ def meeting(items: DataFrame, least: float, days: int | None) -> DataFrame:
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 c = np.where(keys[at] == k, counts[at], 0)
+            rare = np.bincount(doc[c == 0], minlength=len(n))
             order = np.lexsort((h, c, doc))
             place = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-            order = order[place < np.repeat(n - np.ceil(n * least).astype(np.int64) + 1, n)]
-            k, doc = k[order], doc[order]
-            order = np.argsort(k >> REST, kind="stable")  # documents stay in order in each shard
-            k, doc = k[order], doc[order]
-            ends = np.searchsorted(k >> REST, np.arange(SHARDS + 1))
+            order = order[place < np.repeat(n - np.ceil(n * least).astype(np.int64) + shared(n), n)]
+            k, doc, hot = k[order], doc[order], c[order] > HOT
+            common = np.bincount(doc[hot], minlength=len(n))
+            sends = ~hot | (common > few(n))[doc]
+            k, doc, hot = k[sends], doc[sends], hot[sends]
+            shard = (k >> REST) + hot * SHARDS
+            order = np.argsort(shard, kind="stable")  # documents stay in order in each shard
+            k, doc, hot, shard = k[order], doc[order], hot[order], shard[order]
+            ends = np.searchsorted(shard, np.arange(2 * SHARDS + 1))
             rest = (k & ((1 << REST) - 1)).astype(np.uint32)
             ids, day = (rows.column(x).to_numpy(zero_copy_only=False).astype(kind) for x, kind in (("id", np.int64), ("day", np.int32)))
+            extra = np.where(hot, rare[doc], common[doc]).astype(np.int32)
             full = np.flatnonzero(np.diff(ends))
             cut = [(ends[s], ends[s + 1]) for s in full]
-            out = [[_planes(rest[a:b]) for a, b in cut], [_planes(_steps(ids[doc[a:b]])) for a, b in cut], [_planes(n[doc[a:b]].astype(np.int32)) for a, b in cut], [_planes(day[doc[a:b]]) for a, b in cut]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in out]], names=["shard", "keys", "ids", "ns", "days"])
+            out = [[_planes(rest[a:b]) for a, b in cut], [_planes(_steps(ids[doc[a:b]])) for a, b in cut], [_planes(n[doc[a:b]].astype(np.int32)) for a, b in cut], [_planes(day[doc[a:b]]) for a, b in cut], [_planes(extra[a:b]) for a, b in cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in out]], names=["shard", "keys", "ids", "ns", "days", "extras"])
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(held)
+        order = np.lexsort((both[:, 2], both[:, 1], both[:, 0]))
+        both = both[order]
+        at = np.flatnonzero(np.concatenate([[True], (both[1:, :3] != both[:-1, :3]).any(1)]))
+        c = np.diff(np.append(at, len(both)))
+        return pa.RecordBatch.from_arrays([pa.array(both[at, 0] == 1), pa.array(both[at, 1]), pa.array(both[at, 2]), pa.array(c), pa.array(both[at, 3])], names=["hot", "id", "id2", "c", "need"])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_shard(it):
+        held, size = [], 0
+        for shard, rows in _by_shard(it):
             k = np.concatenate([_numbers(x[0], np.uint32) for x in rows])
             ids = np.concatenate([np.cumsum(_numbers(x[1], np.int64)) for x in rows])
-            n, day = (np.concatenate([_numbers(x[i], np.int32) for x in rows]) for i in (2, 3))
-            order = np.argsort(k, kind="stable")
-            ids, n, day = ids[order], n[order], day[order]
-            k = k[order]
+            n, day, extra = (np.concatenate([_numbers(x[i], np.int32) for x in rows]).astype(np.int64) for i in (2, 3, 4))
+            order = np.lexsort((ids, extra, k)) if shard >= SHARDS else np.argsort(k, kind="stable")
+            k, ids, n, day, extra = k[order], ids[order], n[order], day[order], extra[order]
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             sizes = np.diff(np.append(starts, len(k)))
-            held, size = [], 0
-
-            def pairs() -> pa.RecordBatch:
-                both = np.unique(np.concatenate(held), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "id2"])
-
-            for x, y in _within(starts, sizes):
-                near = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * least)
-                if days is not None:
-                    near &= np.abs(day[x] - day[y]) <= days
-                x, y = ids[x[near]], ids[y[near]]
-                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if shard >= SHARDS:
+                some = np.repeat(sizes > 1, sizes)
+                found = [np.stack([np.ones(some.sum(), np.int64), ids[some], np.repeat(ids[starts], sizes)[some], n[some]], 1)]
+            else:
+                found = (paired(x, y, ids, n, day, extra) for x, y in _within(starts, sizes))
+            for x in found:
+                held.append(x)
                 size += len(x)
                 if size > AT_ONCE:
-                    yield pairs()
+                    yield counted(held)
                     held, size = [], 0
-            if size:
-                yield pairs()
-
-    packed = items.mapInArrow(pack, "shard int, keys binary, ids binary, ns binary, days binary")
-    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "id long, id2 long")
+        if size:
+            yield counted(held)
+
+    def paired(x: np.ndarray, y: np.ndarray, ids: np.ndarray, n: np.ndarray, day: np.ndarray, common: np.ndarray) -> np.ndarray:
+        near = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * least)
+        if days is not None:
+            near &= np.abs(day[x] - day[y]) <= days
+        x, y = x[near], y[near]
+        both = (common[x] > few(n[x])) & (common[y] > few(n[y]))  # what they share of common ones shows in their leaders
+        need = shared(np.minimum(n[x], n[y])) - np.where(both, 0, np.minimum(common[x], common[y]))
+        return np.stack([np.zeros(len(x), np.int64), np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.maximum(need, 1)], 1)
+
+    packed = items.mapInArrow(pack, "shard int, keys binary, ids binary, ns binary, days binary, extras binary")
+    met = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "hot boolean, id long, id2 long, c long, need long")
+    return met.groupBy("hot", "id", "id2").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where(F.col("hot") | (F.col("c") >= F.col("need")))
+
+
+def cells(met: DataFrame) -> DataFrame:
+    """(id, cells) of meeting(): cells are (cell, lo, hi, side, leaders). Each pair has one cell in which both stand; a cell's items are at most about two blocks."""
+    labels = met.where("hot").select("id", F.col("id2").alias("cell"), F.col("need").alias("n"))
+    named = labels.groupBy("id").agg(F.sort_array(F.collect_list("cell")).alias("leaders"))
+    sizes = labels.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).alias("parts"))
+    own = labels.join(sizes, "cell").join(named, "id").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = own.select("id", "cell", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), (F.col("s") > F.col("t")).cast("int").alias("side"), "leaders")
+    theirs = named.select(F.col("id").alias("id2"), F.col("leaders").alias("leaders2"))
+    pairs = met.where("NOT hot").select("id", "id2").join(named, "id", "left").join(theirs, "id2", "left").where(~F.coalesce(F.arrays_overlap("leaders", "leaders2"), F.lit(False))).select("id", "id2")
+    parts = pairs.groupBy("id").agg(F.ceil(F.count("*") / (BLOCK // 4)).alias("parts"))
+    leaf = pairs.join(parts, "id").select("id", "id2", F.pmod(F.xxhash64("id2"), F.col("parts")).alias("hi"))
+    none = F.array().cast("array<bigint>")
+    leaves = leaf.select(F.col("id2").alias("id"), F.col("id").alias("cell"), F.lit(-1).cast("long").alias("lo"), "hi", F.lit(1).alias("side"), none.alias("leaders"))
+    centres = leaf.select("id", "hi").distinct().select("id", F.col("id").alias("cell"), F.lit(-1).cast("long").alias("lo"), "hi", F.lit(0).alias("side"), none.alias("leaders"))
+    return blocks.unionByName(leaves).unionByName(centres).groupBy("id").agg(F.collect_list(F.struct("cell", "lo", "hi", "side", "leaders")).alias("cells"))
+
+
+def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, of batches in order of (cell, lo, hi)."""
+    held, at = [], None
+    for b in it:
+        keys = np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "lo", "hi")], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
+        for lo, hi in zip(starts, np.append(starts[1:], len(keys))):
+            if tuple(keys[lo]) != at and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = tuple(keys[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _common(h: np.ndarray, doc: np.ndarray, left: int, right: int, within: bool) -> np.ndarray:
+    """How many values each two documents share: of all with each other, or of the first `left` with the others."""
+    out = np.zeros((left, right), np.int64)
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(h)))
+    less = sizes <= DENSE
+    for x, y in _within(starts[less], sizes[less]):
+        x, y = doc[x], doc[y]
+        if not within:
+            cross = (x < left) & (y >= left)
+            x, y = x[cross], y[cross] - left
+        out += np.bincount(x * right + y, minlength=left * right).reshape(left, right)
+    starts, sizes = starts[~less], sizes[~less]
+    for lo in range(0, len(starts), COLUMNS):
+        n = sizes[lo : lo + COLUMNS]
+        column = np.repeat(np.arange(len(n)), n)
+        row = doc[np.repeat(starts[lo : lo + COLUMNS] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        x = np.zeros((left if within else left + right, len(n)), np.float32)
+        x[row, column] = 1
+        out += (x @ x.T if within else x[:left] @ x[left:].T).astype(np.int64)  # exact, as counts are small
+    return out
+
+
+def compared(placed: DataFrame, least: float, days: int | None) -> DataFrame:
+    """(a, b, jaccard) of the pairs of each cell that overlap by more than `least`."""
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(it):
+            t = t.sort_by([("side", "ascending"), ("id", "ascending")])
+            ids, day, side = (t.column(x).to_numpy().astype(np.int64) for x in ("id", "day", "side"))
+            cell, within, block = t.column("cell")[0].as_py(), t.column("lo")[0].as_py() == t.column("hi")[0].as_py(), t.column("lo")[0].as_py() >= 0
+            left = len(ids) if within else int((side == 0).sum())
+            right = left if within else len(ids) - left
+            if not left or not right:
+                continue
+            sets = t.column("h").combine_chunks()
+            n = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+            shared = _common(sets.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), n), left, right, within)
+            first = 0 if within else left
+            jaccard = shared / np.maximum(n[:left, None] + n[None, first:] - shared, 1)
+            near = jaccard > least
+            if within:
+                near = np.triu(near, 1)
+            if days is not None:
+                near &= np.abs(day[:left, None] - day[None, first:]) <= days
+            if block:  # a pair with several leaders in common counts where the least of them leads
+                leaders = t.column("leaders").combine_chunks()
+                each = pc.list_value_length(leaders).to_numpy(zero_copy_only=False).astype(np.int64)
+                named, doc = leaders.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), each)
+                near &= _common(named[named < cell], doc[named < cell], left, right, within) == 0
+            x, y = np.nonzero(near)
+            for lo in range(0, len(x), AT_ONCE):
+                a, b = ids[x[lo : lo + AT_ONCE]], ids[first + y[lo : lo + AT_ONCE]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(jaccard[x[lo : lo + AT_ONCE], y[lo : lo + AT_ONCE]])], names=["a", "b", "jaccard"])
+
+    order = ["cell", "lo", "hi"]
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long, jaccard double")
 
 
 def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,21 +408,17 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
 def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> DataFrame:
     """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h), ids and days whole numbers.
 
-    Prefix filter: of sets in one order, two with such an overlap share one of
-    their first n - ceil(least * n) + 1; only pairs that meet there, within the
-    days, are compared. The order puts common shingles last, so that boilerplate
-    is not what sets meet by. The sets are never stored or shuffled but for
-    those of pairs that met: shingles travel packed by hash, and items are made
-    anew for each of the three times that they are read.
+    Sets meet by the first shingles of each in one order (meeting), which puts
+    common ones last, so that boilerplate is not what sets meet by. What met is
+    compared in cells of bounded size, a set being sent once to each of its
+    cells and not once for each pair. The sets are never stored: shingles travel
+    packed by hash, and items are made anew for each of the three times that
+    they are read.
     """
     items = items.select("id", "day", "h")
-    pairs = stored(meeting(items, least, days).distinct())
-    some = stored(pairs.select(F.explode(F.array("id", "id2")).alias("id")).distinct())
-    h = picked(items, some, ["id"]).select("id", "h").withColumn("n", F.size("h"))
-    both = pairs.join(h, "id").join(h.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2")), "id2")
-    shared = F.size(F.array_intersect("h", "h2"))
-    jaccard = shared / (F.col("n") + F.col("n2") - shared)
-    return both.select(F.col("id").alias("a"), F.col("id2").alias("b"), jaccard.alias("jaccard")).where(F.col("jaccard") > least)
+    placed = stored(cells(stored(meeting(items, least, days))))
+    own = items.join(F.broadcast(placed) if placed.count() <= BROADCAST else placed, "id")
+    return compared(own.select("id", "day", "h", F.explode("cells").alias("_c")).select("_c.*", "id", "day", "h"), least, days)
 
 
 def window_pairs(by: list[str], days: int) -> Column:
