@@ -77,7 +77,28 @@ def _shingles(raw: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 #: Bytes of text that are shingled at once.
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 20
+
+
+def _shingled(b: pa.RecordBatch, k: int = 5) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of a batch (.., text) with at most TEXT_AT_ONCE bytes, or one row: the rows, the sizes of their sets, their hashes."""
+    texts = b.column("text").cast(pa.large_binary())
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        done = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, done + TEXT_AT_ONCE, "right")))
+        own = texts.slice(lo, hi - lo)
+        begin = int(np.frombuffer(own.buffers()[1], np.int64)[own.offset])
+        raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)[begin : begin + ends[hi - 1] - done]
+        h, n = _shingles(raw, ends[lo:hi] - done, k)
+        yield b.slice(lo, hi - lo), n, h
+        lo = hi
+
+
+def lowered(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the lower-case text as its last column, text."""
+    return df.select(*[c for c in df.columns if c != text], F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
 
 
 def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
@@ -86,22 +107,12 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = 5) -> DataFrame:
 
     def shingle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = b.column(len(rest)).cast(pa.large_binary())
-            size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, lo = np.cumsum(size), 0
-            while lo < len(size):
-                done = ends[lo] - size[lo]
-                hi = max(lo + 1, int(np.searchsorted(ends, done + TEXT_AT_ONCE, "right")))
-                own = texts.slice(lo, hi - lo)
-                begin = int(np.frombuffer(own.buffers()[1], np.int64)[own.offset])
-                raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)[begin : begin + ends[hi - 1] - done]
-                g, n = _shingles(raw, ends[lo:hi] - done, k)
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(g.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(lo, hi - lo) for i in range(len(rest))], sets], names=[*rest, out])
-                lo = hi
+            for rows, n, h in _shingled(b, k):
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(rest)], sets], names=[*rest, out])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.select(*rest, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(shingle, f"{kinds}, `{out}` array<bigint>")
+    return lowered(df, text).mapInArrow(shingle, f"{kinds}, `{out}` array<bigint>")
 
 
 #: Sets that hold a shingle beyond which it comes late in the order of the prefix filter.
@@ -109,7 +120,9 @@ COMMON = 16
 #: So many of the most common shingles have their place in that order by their count; it decides what is compared, not what is found.
 LATE = 1 << 20
 #: Parts that hashes are dealt to, bits of a hash that are kept in a part, hashes that are packed at once.
-SHARDS, REST, AT_ONCE = 1024, 30, 1 << 20
+SHARDS, REST, AT_ONCE = 1024, 30, 1 << 18
+#: Pairs that a task holds before it counts them.
+MET = 1 << 18
 #: Up to so many ids are broadcast.
 BROADCAST = 1_000_000
 #: Items that hold a shingle beyond which those that meet by it are compared in blocks, so many items in a block, and hashes in it about.
@@ -157,8 +170,11 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of batches (.., h) with at most AT_ONCE hashes, or one row: the rows, their sizes, their hashes."""
+    """Rows of batches (.., h) with at most AT_ONCE hashes, or one row: the rows, their sizes, their hashes. Also of batches (.., text) of lower-case texts."""
     for b in it:
+        if "h" not in b.schema.names:
+            yield from _shingled(b)
+            continue
         sizes = b.column("h").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, lo = np.cumsum(sizes), 0
         while lo < len(sizes):
@@ -184,7 +200,7 @@ def _by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[byt
 
 
 def common_shingles(items: DataFrame) -> DataFrame:
-    """(k, c) of the shingles that more than COMMON of items (h) hold, k their first 40 bits. About three bytes of each shingle are shuffled."""
+    """(k, c) of the shingles that more than COMMON of items (h, or lower-case text) hold, k their first 40 bits. About three bytes of each shingle are shuffled."""
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, h in _pieces(it):
@@ -200,12 +216,12 @@ def common_shingles(items: DataFrame) -> DataFrame:
             often = c > COMMON
             yield pa.RecordBatch.from_arrays([pa.array((shard << REST) + k[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], names=["k", "c"])
 
-    packed = items.select("h").mapInArrow(pack, "shard int, keys binary")
+    packed = items.select("h" if "h" in items.columns else "text").mapInArrow(pack, "shard int, keys binary")
     return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "k long, c long")
 
 
 def meeting(items: DataFrame, least: float, days: int | None) -> DataFrame:
-    """(hot, id, id2, c, need) of items (id, day, h). Two that overlap by more than `least` stand in a row (false, id, id2), id < id2, or share an id2 in rows (true, id, id2, size).
+    """(hot, id, id2, c, need) of items (id, day, h), or with lower-case text for h. Two that overlap by more than `least` stand in a row (false, id, id2), id < id2, or share an id2 in rows (true, id, id2, size).
 
     Two such sets share s = 1 + n / 20 of their first n - ceil(least * n) + s
     shingles, n the smaller set. Those that no more than HOT hold make pairs,
@@ -279,7 +295,7 @@ def meeting(items: DataFrame, least: float, days: int | None) -> DataFrame:
             for x in found:
                 held.append(x)
                 size += len(x)
-                if size > AT_ONCE:
+                if size > MET:
                     yield counted(held)
                     held, size = [], 0
         if size:
@@ -394,30 +410,32 @@ def compared(placed: DataFrame, least: float, days: int | None) -> DataFrame:
 
 
 def _within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places in the same run, at most about AT_ONCE at once."""
+    """All pairs of places in the same run, at most about MET at once."""
     for size in np.unique(sizes[sizes > 1]):
         own = starts[sizes == size]
         for i in range(size - 1):
             later = np.arange(i + 1, size)
-            step = max(1, AT_ONCE // len(later))
+            step = max(1, MET // len(later))
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step, None]
                 yield np.broadcast_to(part + i, (len(part), len(later))).ravel(), (part + later).ravel()
 
 
 def near_pairs(items: DataFrame, least: float = 0.6, days: int | None = 7) -> DataFrame:
-    """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h), ids and days whole numbers.
+    """(a, b, jaccard) of items at most `days` apart, of all where it is None, whose hashed shingle sets overlap by more than `least`. items: (id, day, h), ids and days whole numbers, or (id, day, text) of texts to be shingled.
 
     Sets meet by the first shingles of each in one order (meeting), which puts
     common ones last, so that boilerplate is not what sets meet by. What met is
     compared in cells of bounded size, a set being sent once to each of its
     cells and not once for each pair. The sets are never stored: shingles travel
-    packed by hash, and items are made anew for each of the three times that
-    they are read.
+    packed by hash, and items are read three times, the third time shingled only
+    if they met another.
     """
-    items = items.select("id", "day", "h")
-    placed = stored(cells(stored(meeting(items, least, days))))
+    texts = "h" not in items.columns
+    items = items.select("id", "day", "text" if texts else "h")
+    placed = stored(cells(stored(meeting(lowered(items) if texts else items, least, days))))
     own = items.join(F.broadcast(placed) if placed.count() <= BROADCAST else placed, "id")
+    own = with_shingles(own, "text", "h") if texts else own
     return compared(own.select("id", "day", "h", F.explode("cells").alias("_c")).select("_c.*", "id", "day", "h"), least, days)
 
 
@@ -436,7 +454,7 @@ def duplicate_share(docs: DataFrame, least: float = 0.6, days: int = 7) -> DataF
     digest = F.sha2(F.coalesce("text", F.lit("\u0000")), 256)
     daily = docs.groupBy(digest.alias("_digest"), "day").agg(F.count("*").alias("n"), F.min("doc_id").alias("_least"))
     counts = stored(daily.select(F.min("_least").over(Window.partitionBy("_digest")).alias("id"), "day", "n"))
-    items = with_shingles(distinct_texts(docs).select("id", "text", F.lit(0).alias("day")), "text", "h").select("id", "day", "h")
+    items = distinct_texts(docs).select("id", F.lit(0).alias("day"), "text")
     a, b = (counts.select(F.col("id").alias(x), F.col("day").alias(f"_{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     between = near_pairs(items, least, None).select("a", "b").join(a, "a").join(b, "b").where(F.abs(F.col("_a") - F.col("_b")) <= days)
     near = between.agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)).alias("x"))

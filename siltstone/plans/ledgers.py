@@ -35,14 +35,14 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Between different texts: copies are one item of the earliest id."""
     own = E.distinct_texts(table(spark, d, "documents"))
-    items = E.with_shingles(own.select("id", "text", F.pmod("id", F.lit(30)).alias("day")), "text", "h").select("id", "day", "h")
+    items = own.select("id", F.pmod("id", F.lit(30)).alias("day"), "text")
     return E.near_pairs(items).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def near_dup_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """As near_dup_pairs, without a window of days, since documents have no date."""
     own = E.distinct_texts(table(spark, d, "documents"))
-    items = E.with_shingles(own.select("id", "text", F.lit(0).alias("day")), "text", "h").select("id", "day", "h")
+    items = own.select("id", F.lit(0).alias("day"), "text")
     return E.near_pairs(items, days=None).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
